@@ -15,6 +15,13 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op5_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from volumetra.llm.flac import describe, encode_column
+
+    out = describe(encode_column(documents(spark, sf_dir, "doc_id", "text")))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from volumetra.llm.quality import quality
 
@@ -25,6 +32,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
+        "op5_flac_media": op5_flac_media,
         "op10_quality_rules": op10_quality_rules,
     }
 
