@@ -15,6 +15,12 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op3_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from volumetra.llm.langid import cross_parse
+
+    return cross_parse(documents(spark, sf_dir, "doc_id", "text", "lang"))
+
+
 def op5_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from volumetra.llm.flac import describe, encode_column
 
@@ -30,6 +36,12 @@ def op6_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from volumetra.llm.neardup import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op9_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,8 +60,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
+        "op3_cross_parsing": op3_cross_parsing,
         "op5_flac_media": op5_flac_media,
         "op6_slack_packing": op6_slack_packing,
+        "op7_minhash_neardup": op7_minhash_neardup,
         "op9_tree_bpe": op9_tree_bpe,
         "op10_quality_rules": op10_quality_rules,
     }
