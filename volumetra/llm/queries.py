@@ -21,6 +21,12 @@ def op3_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_parse(documents(spark, sf_dir, "doc_id", "text", "lang"))
 
 
+def op4_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from volumetra.llm.pii import find
+
+    return find(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op5_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from volumetra.llm.flac import describe, encode_column
 
@@ -61,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
         "op3_cross_parsing": op3_cross_parsing,
+        "op4_sanitisation": op4_sanitisation,
         "op5_flac_media": op5_flac_media,
         "op6_slack_packing": op6_slack_packing,
         "op7_minhash_neardup": op7_minhash_neardup,
