@@ -48,6 +48,12 @@ def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op8_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from volumetra.llm.passages import dedup_passages
+
+    return dedup_passages(documents(spark, sf_dir, "doc_id", "text")).withColumnRenamed("kept", "kept_sha256")
+
+
 def op9_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -71,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_flac_media": op5_flac_media,
         "op6_slack_packing": op6_slack_packing,
         "op7_minhash_neardup": op7_minhash_neardup,
+        "op8_fingerprint_index": op8_fingerprint_index,
         "op9_tree_bpe": op9_tree_bpe,
         "op10_quality_rules": op10_quality_rules,
     }
