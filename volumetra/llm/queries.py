@@ -15,6 +15,15 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op2_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from volumetra.llm.lines import dedup_lines
+
+    out = dedup_lines(documents(spark, sf_dir, "doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op3_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from volumetra.llm.langid import cross_parse
 
@@ -72,6 +81,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
+        "op2_fuzzy_lines": op2_fuzzy_lines,
         "op3_cross_parsing": op3_cross_parsing,
         "op4_sanitisation": op4_sanitisation,
         "op5_flac_media": op5_flac_media,
