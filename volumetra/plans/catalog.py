@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from volumetra.plans.registry import ORACLES, QUERIES
 
-MODULES = ("rolling", "levels")
+MODULES = ("rolling", "levels", "bars")
 
 
 def _load() -> None:
