@@ -117,14 +117,15 @@ def near_terms(part: Column, last: bool) -> Column:
     return let(F.struct(F.regexp_extract_all(part, F.lit(WORD), 0).alias("w"), F.split(part, WORD, -1).alias("g")), places)
 
 
-def document_counts(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
-    """term, n: in how many rows of the corpus each of the terms stands."""
+def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, n: in how many rows of the corpus each of the terms stands.
+
+    All words are counted, pre-aggregated in each task, and the counts joined: how many rows a join passes on then depends
+    on the vocabulary, not on how common the terms are.
+    """
     text = F.lower(whole_text())
     words = docs.select(F.explode(F.array_distinct(F.split(text, NOT_WORD, -1))).alias("term")).filter(F.length("term") >= SHORTEST)
-    if n_terms <= BROADCAST_ROWS:
-        words = words.join(F.broadcast(terms), "term", "left_semi")
-    counts = words.groupBy("term").agg(F.count("*").alias("n"))
-    return counts if n_terms <= BROADCAST_ROWS else counts.join(terms, "term", "left_semi")
+    return words.groupBy("term").agg(F.count("*").alias("n")).join(terms, "term", "left_semi")
 
 
 def disclosing(docs: DataFrame, base: DataFrame, scratch: Scratch, support: int, disclosure: float, removal: float) -> DataFrame:
@@ -144,17 +145,16 @@ def disclosing(docs: DataFrame, base: DataFrame, scratch: Scratch, support: int,
     pairs = near.select("term", "entity", "text_key").distinct().groupBy("term", "entity").agg(F.count("*").alias("texts")).filter(F.col("texts") >= support)
     pairs = scratch.save(pairs, "pairs")
     terms = scratch.save(pairs.select("term").distinct(), "terms")
-    n_terms = terms.count()
     n = docs.count()
     rows = docs.select("doc_id", F.xxhash64(whole_text()).alias("text_key")).groupBy("doc_id", "text_key").agg(F.count("*").alias("rows"))
-    if not n_terms:
+    if terms.isEmpty():
         return near.select("doc_id", "text_key", F.lit("term").alias("kind"), "start", (F.col("start") + F.length("word")).alias("end"), F.lit(True).alias("removed")).limit(0)
     same = ["doc_id", "text_key"]
     weighted = near.select(*same, "term", "entity").distinct().withColumnRenamed("doc_id", "x").withColumnRenamed("text_key", "y")
     weighted = weighted.join(rows, F.col("x").eqNullSafe(F.col("doc_id")) & (F.col("y") == F.col("text_key")))
     n_te = weighted.groupBy("term", "entity").agg(F.sum("rows").alias("n_te"))
     n_e = weighted.select("x", "y", "entity", "rows").distinct().groupBy("entity").agg(F.sum("rows").alias("n_e"))
-    joint = pairs.join(n_te, ["term", "entity"]).join(n_e, "entity").join(document_counts(docs, terms, n_terms), "term")
+    joint = pairs.join(n_te, ["term", "entity"]).join(n_e, "entity").join(document_counts(docs, terms), "term")
     ic = F.log2(F.lit(float(max(n, 2))) / F.col("n_e"))
     pmi = F.log2(F.lit(float(max(n, 2))) * F.col("n_te") / (F.col("n") * F.col("n_e")))
     told = joint.filter((ic > 0) & (pmi >= disclosure * ic)).select("term", "entity", (pmi >= removal * ic).alias("removed"))
