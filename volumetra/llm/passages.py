@@ -11,6 +11,9 @@ merge-joined with the historical runs, which gives the fingerprints that two
 documents share; more than FANOUT runs are compacted into one. An index that
 was kept can be opened again, and new documents appended.
 
+Documents with one word sequence are settled first: all but those with the
+smallest doc_id lose every word, and only the others meet the index.
+
 Shared fingerprints are then verified: in the documents that have them, every
 window around one is hashed in full (96 bits), the smallest doc_id of each hash
 is found with partial aggregates, and the words of windows that a smaller
@@ -61,6 +64,27 @@ def _texts(frames, seeds=(0,)):
         yield batch, flat, offsets, words
 
 
+def sequences(docs: DataFrame, text_out: bool = False) -> DataFrame:
+    """doc_id, text_key, n_words, seq (128-bit digest of the words, null below WINDOW words), kept of the unchanged text; docs has doc_id, text, text_key."""
+    import xxhash
+
+    ship(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(frames):
+        for batch, flat, offsets, (words,) in _texts(frames):
+            n, seq, kept = [], [], []
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+                n.append(b - a)
+                seq.append(xxhash.xxh3_128_digest(words[a:b].tobytes()) if b - a >= WINDOW else None)
+                text = " ".join(flat.slice(a, b - a).to_pylist())
+                kept.append(text if text_out else hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest())
+            columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(seq, pa.binary()), pa.array(kept, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "n_words", "seq", "kept"])
+
+    return docs.select("doc_id", "text", "text_key").mapInArrow(run, f"doc_id {kind}, text_key long, n_words long, seq binary, kept string")
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """fp, doc_id: the distinct fingerprints of each row with a doc_id."""
     ship(docs.sparkSession)
@@ -155,69 +179,81 @@ def _removed(frames, text_out: bool):
         h = gram_hashes(words, WINDOW)
         lists = batch.column("gone")
         at, values = np.asarray(lists.offsets), np.asarray(lists.values).view(np.uint64)
-        n_words, n_removed, kept = [], [], []
+        n_removed, kept = [], []
         for i in range(batch.num_rows):
             a, b = offsets[i], offsets[i + 1]
             gone = removal_mask(h[a : b - WINDOW + 1], values[at[i] : at[i + 1]], b - a) if b - a >= WINDOW and at[i + 1] > at[i] else np.zeros(b - a, bool)
             own = flat.slice(a, b - a)
             text = " ".join((own.filter(pa.array(~gone)) if gone.any() else own).to_pylist())
-            n_words.append(int(b - a))
             n_removed.append(int(gone.sum()))
             kept.append(text if text_out else hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest())
-        yield batch, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())
+        yield batch, pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())
 
 
 def rewrite(texts: DataFrame, text_out: bool = False) -> DataFrame:
-    """doc_id, text_key, n_words, n_removed and kept (the text, or its SHA-256); texts has doc_id, text_key, text, gone (hashes)."""
+    """doc_id, text_key, n_removed and kept (the text, or its SHA-256); texts has doc_id, text_key, text, gone (hashes)."""
     ship(texts.sparkSession)
     kind = texts.schema["doc_id"].dataType.simpleString()
 
     def run(frames):
-        for batch, n, r, kept in _removed(frames, text_out):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), n, r, kept], ["doc_id", "text_key", "n_words", "n_removed", "kept"])
+        for batch, r, kept in _removed(frames, text_out):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), r, kept], ["doc_id", "text_key", "n_removed", "kept"])
 
-    return texts.select("doc_id", "text_key", "text", "gone").mapInArrow(run, f"doc_id {kind}, text_key long, n_words long, n_removed long, kept string")
+    return texts.select("doc_id", "text_key", "text", "gone").mapInArrow(run, f"doc_id {kind}, text_key long, n_removed long, kept string")
 
 
-def shared_fingerprints(docs: DataFrame, scratch: Scratch, n_batches: int) -> DataFrame:
-    """Fingerprints that two documents share, the table taken in batches of doc_id through one index."""
-    index = FingerprintIndex(docs.sparkSession, scratch)
-    span = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
+def shared_fingerprints(fps: DataFrame, scratch: Scratch, n_batches: int) -> DataFrame:
+    """Fingerprints that two documents share, the table (fp, doc_id) taken in batches of doc_id through one index."""
+    index = FingerprintIndex(fps.sparkSession, scratch)
+    span = fps.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
     shared = []
     if span["lo"] is not None:
         step = max(1, -(-(span["hi"] - span["lo"] + 1) // n_batches))
         for lo in range(span["lo"], span["hi"] + 1, step):
-            shared.append(index.append(fingerprints(docs.filter(F.col("doc_id").between(lo, lo + step - 1)))))
+            shared.append(index.append(fps.filter(F.col("doc_id").between(lo, lo + step - 1))))
     scratch.drop(*index.runs)
     if not shared:
-        return docs.sparkSession.createDataFrame([], "fp long")
+        return fps.select("fp").limit(0)
     every = shared[0]
     for s in shared[1:]:
         every = every.unionByName(s)
     return scratch.save(every.distinct(), "every")
 
 
+def _some(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """docs with (left_semi) or without (left_anti) the doc_ids of a written table; narrow and small, it is broadcast."""
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    return docs.join(ids, "doc_id", how)
+
+
 def dedup_passages(docs: DataFrame, n_batches: int = 2, text_out: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept (SHA-256 of the kept words joined by one space, or that text) of every row."""
     scratch = Scratch(docs.sparkSession, "passages")
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    shared = shared_fingerprints(docs, scratch, n_batches)
-    with_shared = fingerprints(docs).join(shared, "fp").groupBy("doc_id").agg(F.collect_list("fp").alias("fps"))
-    with_shared = scratch.save(with_shared, "with")
-    ids = with_shared.select("doc_id")
-    few = with_shared.count() <= BROADCAST_ROWS
-    some = docs.join(F.broadcast(ids), "doc_id", "left_semi") if few else docs
-    texts = scratch.save(some.join(with_shared.hint("merge"), "doc_id").withColumn("text_key", F.xxhash64("text")), "texts")
-    scratch.drop(shared, with_shared)
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    rows = scratch.save(sequences(docs, text_out), "rows")
+    same = rows.filter("seq is not null and doc_id is not null").groupBy("seq").agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest")).filter("lowest < highest").select(F.col("seq").alias("s_seq"), "lowest")
+    rows = scratch.save(rows.join(same, rows.seq == F.col("s_seq"), "left").select("doc_id", "text_key", "n_words", "kept", F.coalesce(F.col("doc_id") > F.col("lowest"), F.lit(False)).alias("copy")), "rows")
+    # a doc_id is left out where no row of it is to be looked at: too short, or a copy
+    open_ids = scratch.save(rows.filter(f"doc_id is not null and not copy and n_words >= {WINDOW}").select("doc_id").distinct(), "ids")
+    shut = scratch.save(rows.filter("doc_id is not null").select("doc_id").distinct().join(open_ids, "doc_id", "left_anti"), "shut")
+    live = _some(docs.filter("doc_id is not null"), shut, "left_anti")
+    fps = scratch.save(fingerprints(live), "fps")
+    shared = shared_fingerprints(fps, scratch, n_batches)
+    with_shared = scratch.save(fps.join(shared, "fp").groupBy("doc_id").agg(F.collect_list("fp").alias("fps")), "with")
+    scratch.drop(fps, shared)
+    texts = scratch.save(_some(live, with_shared.select("doc_id"), "left_semi").join(with_shared.hint("merge"), "doc_id"), "texts")
+    scratch.drop(with_shared)
     windows = scratch.save(candidate_windows(texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "fps")), "windows")
     first = windows.groupBy("h", "c").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h", "c", "lo")
+    first = scratch.save(first, "first")
     gone = windows.join(first, ["h", "c"]).filter("doc_id > lo").groupBy("doc_id").agg(F.collect_list("h").alias("gone"))
     gone = scratch.save(gone, "gone")
-    scratch.drop(windows)
-    changed = scratch.save(rewrite(texts.drop("fps").join(gone.hint("merge"), "doc_id"), text_out), "changed")
+    scratch.drop(windows, first)
+    changed = _some(texts.drop("fps"), gone.select("doc_id"), "left_semi").join(gone.hint("merge"), "doc_id")
+    changed = scratch.save(rewrite(changed, text_out), "changed")
     scratch.drop(texts, gone)
-    none = F.array().cast("array<long>")
-    plain = rewrite(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text", none.alias("gone")), text_out)
     changed = changed.dropDuplicates(["doc_id", "text_key"]).select(F.col("doc_id").alias("x"), F.col("text_key").alias("y"), F.col("n_removed").alias("r"), F.col("kept").alias("k"))
-    out = plain.join(changed, (plain.doc_id == F.col("x")) & (plain.text_key == F.col("y")), "left")
-    return out.select("doc_id", "n_words", F.coalesce("r", "n_removed").alias("n_removed"), F.coalesce("k", "kept").alias("kept"))
+    out = rows.join(changed, (rows.doc_id == F.col("x")) & (rows.text_key == F.col("y")), "left")
+    empty = F.lit("") if text_out else F.sha2(F.lit(""), 256)
+    removed = F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("r", F.lit(0).cast("long")))
+    return out.select("doc_id", "n_words", removed.alias("n_removed"), F.when(F.col("copy"), empty).otherwise(F.coalesce("k", "kept")).alias("kept"))
