@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from volumetra.plans.registry import ORACLES, QUERIES
 
-MODULES = ("rolling", "levels", "bars", "trading")
+MODULES = ("rolling", "levels", "bars", "trading", "research")
 
 
 def _load() -> None:
