@@ -57,27 +57,45 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
-def link(keys: DataFrame, payload: Callable[[DataFrame], DataFrame], similar: Callable[[Column, Column], Column], scratch: Scratch, block: int = BLOCK) -> DataFrame:
+def link(
+    keys: DataFrame,
+    payload: Callable[[DataFrame], DataFrame],
+    similar: Callable[[Column, Column], Column],
+    scratch: Scratch,
+    block: int = BLOCK,
+    sketch: DataFrame | None = None,
+    near: Callable[[Column, Column], Column] | None = None,
+) -> DataFrame:
     """(key, id) rows to (id, root).
 
     payload(ids) gives one row (id, columns that `similar` reads) for each id of
     a written table; similar(a, b) compares two structs of those columns. An id
     has a key once. Payload column `keys`, if there, holds all keys of an id in
     one order for all: a pair is then compared only at the first key it shares.
+
+    With a sketch (id, sk), near(a, b) on two sketches is part of similarity: it
+    is tested first, and payloads are fetched only for ids of pairs that pass it.
     """
     sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("n > 1")
     members = scratch.save(keys.join(sizes, "key"), "members")
     star = members.filter("id != lo").select(F.col("lo").alias("a"), F.col("id").alias("b"))
     star = star.unionByName(members.filter("id != lo and id != hi").select(F.col("id").alias("a"), F.col("hi").alias("b"))).distinct()
-    star = scratch.save(star, "star")
-    ids = scratch.save(star.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    loads = scratch.save(payload(ids), "payload")
-    columns = [c for c in loads.columns]
-    whole = F.struct(*columns)
-    left = loads.select(F.col("id").alias("a"), whole.alias("pa"))
-    right = loads.select(F.col("id").alias("b"), whole.alias("pb"))
-    links = scratch.save(star.join(left, "a").join(right, "b").filter(similar(F.col("pa"), F.col("pb"))).select("a", "b"), "links")
-    scratch.drop(star, ids)
+
+    def verified(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The links among (a, b) pairs, and the payloads that were fetched."""
+        if sketch is not None:
+            one, two = sketch.select(F.col("id").alias("a"), F.col("sk").alias("sa")), sketch.select(F.col("id").alias("b"), F.col("sk").alias("sb"))
+            pairs = pairs.join(one, "a").join(two, "b").filter(near(F.col("sa"), F.col("sb"))).select("a", "b")
+        pairs = scratch.save(pairs, "pairs")
+        ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+        loads = scratch.save(payload(ids), "payload")
+        whole = F.struct(*loads.columns)
+        left, right = loads.select(F.col("id").alias("a"), whole.alias("pa")), loads.select(F.col("id").alias("b"), whole.alias("pb"))
+        links = scratch.save(pairs.join(left, "a").join(right, "b").filter(similar(F.col("pa"), F.col("pb"))).select("a", "b"), "links")
+        scratch.drop(pairs, ids)
+        return links, loads
+
+    links, loads = verified(star)
     roots = components(links, scratch)
 
     labelled = members.filter("n > 2").join(roots, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("label"))
@@ -85,8 +103,10 @@ def link(keys: DataFrame, payload: Callable[[DataFrame], DataFrame], similar: Ca
     left_over = scratch.save(labelled.join(open_, "key", "left_semi"), "open")
     if left_over.isEmpty():
         return roots
+    held = sketch if sketch is not None else loads
+    columns = held.columns
     blocks = F.ceil(F.col("n") / block).cast("int")
-    rows = left_over.join(loads, "id").select("key", blocks.alias("nb"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), F.struct("label", *columns).alias("p"))
+    rows = left_over.join(held, "id").select("key", blocks.alias("nb"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), F.struct("label", *columns).alias("p"))
     rows = scratch.save(rows.groupBy("key", "nb", "block").agg(F.collect_list("p").alias("ps")), "blocks")
     one = rows.select("key", "block", F.explode(F.sequence("block", F.col("nb") - 1)).alias("other"), F.col("ps").alias("pa"))
     two = rows.select("key", F.col("block").alias("other"), F.col("ps").alias("pb"))
@@ -94,12 +114,15 @@ def link(keys: DataFrame, payload: Callable[[DataFrame], DataFrame], similar: Ca
 
     def comparable(a: Column, b: Column) -> Column:
         ok = (a["label"] != b["label"]) & ((F.col("block") != F.col("other")) | (a["id"] < b["id"]))
+        if sketch is not None:
+            return ok & near(a["sk"], b["sk"])
         if "keys" in columns:
             at = F.array_position(a["keys"], F.col("key")).cast("int")
             ok = ok & ~F.arrays_overlap(F.slice(a["keys"], F.lit(1), at - 1), F.slice(b["keys"], F.lit(1), at - 1))
         return ok & similar(a, b)
 
-    found = F.transform("pa", lambda a: F.transform(F.filter("pb", lambda b: comparable(a, b)), lambda b: F.struct(a["label"].alias("a"), b["label"].alias("b"))))
+    name = "id" if sketch is not None else "label"
+    found = F.transform("pa", lambda a: F.transform(F.filter("pb", lambda b: comparable(a, b)), lambda b: F.struct(a[name].alias("a"), b[name].alias("b"))))
     more = met.select(F.explode(F.array_distinct(F.flatten(found))).alias("e")).select("e.a", "e.b").distinct()
-    out = components(links.unionByName(scratch.save(more, "more")), scratch)
-    return out
+    more = verified(more)[0] if sketch is not None else scratch.save(more, "more")
+    return components(links.unionByName(more), scratch)
