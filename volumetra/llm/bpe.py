@@ -190,7 +190,7 @@ def ready(kind, *args):
 def encode_decode(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """docs without text, with n_tokens, ids (little-endian unsigned 32-bit) and decoded."""
     ship(docs.sparkSession)
-    rest = [f for f in docs.schema if f.name != text]
+    rest = [f for f in docs.schema if f.name not in (text, "n_tokens", "ids", "decoded")]
     names = [f.name for f in rest]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + ["n_tokens long", "ids binary", "decoded string"])
 

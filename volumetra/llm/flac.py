@@ -443,8 +443,8 @@ def payload(text: str | None) -> tuple[int, bytes]:
 def encode_column(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs (other columns unchanged, text replaced) with n_bytes long and media binary."""
     ship(docs.sparkSession)
-    rest = [c for c in docs.columns if c != text]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text] + ["n_bytes long", "media binary"])
+    rest = [c for c in docs.columns if c not in (text, "n_bytes", "media")]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in rest] + ["n_bytes long", "media binary"])
 
     def run(frames):
         for batch in batches(frames, 4.0, text):
@@ -481,10 +481,10 @@ def features(p: bytes) -> str:
 def describe(media: DataFrame, column: str = "media") -> DataFrame:
     """Reads every stream back: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
     ship(media.sparkSession)
-    rest = [c for c in media.columns if c != column]
     made = ["payload_bytes long", "payload_sha256 string", "tail_crc32 long", "media_bytes long", "media_sha256 string", "feature string"]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema if f.name != column] + made)
     names = [x.split()[0] for x in made]
+    rest = [c for c in media.columns if c not in (column, *names)]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema if f.name in rest] + made)
 
     def run(frames):
         for batch in batches(frames, 4.0, column):

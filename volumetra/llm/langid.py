@@ -173,7 +173,7 @@ def draw_samples(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_cha
 def identify(docs: DataFrame, samples: dict[str, str], text: str = "text") -> DataFrame:
     """docs without text, with lang_pred and score."""
     ship(docs.sparkSession)
-    rest = [f for f in docs.schema if f.name != text]
+    rest = [f for f in docs.schema if f.name not in (text, "lang_pred", "score")]
     names = [f.name for f in rest]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + ["lang_pred string", "score double"])
 

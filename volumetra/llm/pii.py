@@ -125,7 +125,8 @@ def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """
     text = F.lower(whole_text())
     words = docs.select(F.explode(F.array_distinct(F.split(text, NOT_WORD, -1))).alias("term")).filter(F.length("term") >= SHORTEST)
-    return words.groupBy("term").agg(F.count("*").alias("n")).join(terms, "term", "left_semi")
+    # an inner join with distinct terms: a semi join would be pushed below the aggregate again
+    return words.groupBy("term").agg(F.count("*").alias("n")).join(terms, "term")
 
 
 def disclosing(docs: DataFrame, base: DataFrame, scratch: Scratch, support: int, disclosure: float, removal: float) -> DataFrame:
@@ -171,6 +172,7 @@ def all_spans(docs: DataFrame, scratch: Scratch, support: int = 3, disclosure: f
 
 def find(docs: DataFrame, support: int = 3, disclosure: float = 0.8) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term of every row."""
+    docs = docs.select("doc_id", "text")
     spans = all_spans(docs, Scratch(docs.sparkSession, "pii"), support, disclosure)
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     one = F.struct(rank.alias("rank"), F.col("start"), F.col("end"), F.col("kind"))
@@ -193,7 +195,7 @@ def sanitise(docs: DataFrame, support: int = 3, disclosure: float = 0.8) -> Data
 
     Spans that overlap are replaced together, under the kind of the first.
     """
-    spans = all_spans(docs, Scratch(docs.sparkSession, "sanitise"), support, disclosure)
+    spans = all_spans(docs.select("doc_id", "text"), Scratch(docs.sparkSession, "sanitise"), support, disclosure)
     key = ["doc_id", "text_key"]
     before = W.partitionBy(*key).orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1)
     order = W.partitionBy(*key).orderBy("start", "end")
@@ -201,12 +203,12 @@ def sanitise(docs: DataFrame, support: int = 3, disclosure: float = 0.8) -> Data
     tag = F.element_at(F.create_map(*[x for k, v in TAGS.items() for x in (F.lit(k), F.lit(v))]), F.col("kind"))
     tag = F.when((F.col("kind") == "term") & F.col("removed"), F.lit("")).otherwise(tag)
     islands = spans.groupBy(*key, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by(tag, F.struct("start", "end")).alias("tag"))
-    lists = islands.groupBy(F.col("doc_id").alias("x"), F.col("text_key").alias("y")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "tag"))).alias("cuts"))
+    lists = islands.groupBy(F.col("doc_id").alias("_pii_id"), F.col("text_key").alias("_pii_key")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "tag"))).alias("_pii_cuts"))
     lists = Scratch(docs.sparkSession, "sanitise").save(lists, "lists")
     if lists.count() <= BROADCAST_ROWS // 10:
         lists = F.broadcast(lists)
-    rows = docs.withColumn("text_key", F.xxhash64(whole_text()))
-    out = rows.join(lists, rows.doc_id.eqNullSafe(F.col("x")) & (rows.text_key == F.col("y")), "left")
+    rows = docs.withColumn("_pii_text", F.xxhash64(whole_text()))
+    out = rows.join(lists, rows.doc_id.eqNullSafe(F.col("_pii_id")) & (F.col("_pii_text") == F.col("_pii_key")), "left")
 
     def rewritten(s: Column) -> Column:
         text = F.col("text")
@@ -215,4 +217,4 @@ def sanitise(docs: DataFrame, support: int = 3, disclosure: float = 0.8) -> Data
         last = F.element_at(s, -1)["end"]
         return F.concat(F.array_join(parts, ""), F.substring(text, last + 1, F.length(text)))
 
-    return out.withColumn("text", F.when(F.col("cuts").isNull(), F.col("text")).otherwise(rewritten(F.col("cuts").cast("array<struct<start:int,end:int,tag:string>>")))).select(*docs.columns)
+    return out.withColumn("text", F.when(F.col("_pii_cuts").isNull(), F.col("text")).otherwise(rewritten(F.col("_pii_cuts").cast("array<struct<start:int,end:int,tag:string>>")))).select(*docs.columns)
