@@ -27,6 +27,7 @@ have no words; a text of fewer than WINDOW words loses none.
 from __future__ import annotations
 
 import hashlib
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -72,13 +73,14 @@ def sequences(docs: DataFrame, text_out: bool = False) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(frames):
-        for batch, flat, offsets, (words,) in _texts(frames):
+        for batch in batches(frames, 4.0):
             n, seq, kept = [], [], []
-            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-                n.append(b - a)
-                seq.append(xxhash.xxh3_128_digest(words[a:b].tobytes()) if b - a >= WINDOW else None)
-                text = " ".join(flat.slice(a, b - a).to_pylist())
-                kept.append(text if text_out else hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest())
+            for text in batch.column("text").to_pylist():
+                words = text.encode("utf-8", "surrogatepass").split()  # bytes: ASCII white space alone
+                joined = b" ".join(words)
+                n.append(len(words))
+                seq.append(xxhash.xxh3_128_digest(joined) if len(words) >= WINDOW else None)
+                kept.append(joined.decode("utf-8", "surrogatepass") if text_out else hashlib.sha256(joined).hexdigest())
             columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(seq, pa.binary()), pa.array(kept, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "n_words", "seq", "kept"])
 
@@ -175,18 +177,17 @@ def removal_mask(h: np.ndarray, gone: np.ndarray, n: int) -> np.ndarray:
 
 
 def _removed(frames, text_out: bool):
-    for batch, flat, offsets, (words,) in _texts(frames):
+    for batch, _, offsets, (words,) in _texts(frames):
         h = gram_hashes(words, WINDOW)
         lists = batch.column("gone")
         at, values = np.asarray(lists.offsets), np.asarray(lists.values).view(np.uint64)
         n_removed, kept = [], []
-        for i in range(batch.num_rows):
+        for i, text in enumerate(batch.column("text").to_pylist()):
             a, b = offsets[i], offsets[i + 1]
             gone = removal_mask(h[a : b - WINDOW + 1], values[at[i] : at[i + 1]], b - a) if b - a >= WINDOW and at[i + 1] > at[i] else np.zeros(b - a, bool)
-            own = flat.slice(a, b - a)
-            text = " ".join((own.filter(pa.array(~gone)) if gone.any() else own).to_pylist())
+            joined = b" ".join(compress(text.encode("utf-8", "surrogatepass").split(), (~gone).tolist()))
             n_removed.append(int(gone.sum()))
-            kept.append(text if text_out else hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest())
+            kept.append(joined.decode("utf-8", "surrogatepass") if text_out else hashlib.sha256(joined).hexdigest())
         yield batch, pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())
 
 
