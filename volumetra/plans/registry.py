@@ -18,13 +18,33 @@ NATION = f"""bars AS (SELECT CAST(s_nationkey AS VARCHAR) AS symbol, date_trunc(
 DUCK = {"event": EVENT, "flag": FLAG, "nation": NATION}
 
 
+def unsigned_zero(sql: str) -> str:
+    """`round(...) AS c` with 0.0 added: DuckDB rounds a small negative number to -0.0, Spark to 0.0."""
+    out, at = [], 0
+    while (start := sql.find("round(", at)) >= 0:
+        depth, end = 0, start + 5
+        while True:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+            if not depth:
+                break
+        alone = sql[end : end + 4] == " AS " and not sql[max(0, start - 1)].isalnum()
+        if alone:
+            out.append(sql[at:end] + " + 0.0")
+            at = end
+        else:
+            out.append(sql[at : start + 6])
+            at = start + 6
+    return "".join(out) + sql[at:]
+
+
 def query(name: str, oracle: str | None = None):
     def add(f):
         if name in QUERIES:
             raise ValueError(f"twice: {name}")
         QUERIES[name] = f
         if oracle:
-            ORACLES[name] = oracle
+            ORACLES[name] = unsigned_zero(oracle)
         return f
 
     return add

@@ -12,7 +12,7 @@ from volumetra.sources.bars import VIEWS
 
 def feature(name: str, stages: list[R.Stage], columns: list[str], view: str = "event", digits: int = 6, where: str = "") -> None:
     """A query that returns columns, rounded, for every bar of a view, and the same in DuckDB."""
-    rounded = [f"round(CAST({c} AS DOUBLE), {digits}) AS {c}" for c in columns]
+    rounded = [f"round(CAST({c} AS DOUBLE), {digits}) + 0.0 AS {c}" for c in columns]
 
     def run(spark, sf_dir):
         out = R.apply(VIEWS[view](spark, sf_dir), stages)
