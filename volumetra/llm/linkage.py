@@ -9,7 +9,9 @@ exact steps.
    BLOCK ids by a hash; every two blocks of a bucket meet in one row, where ids
    of different components are compared inside the row. Only links between
    components come out. So every two ids of a bucket end up compared or already
-   in one component; nothing is dropped.
+   in one component; nothing is dropped. Where buckets overlap so much that
+   comparing a whole cluster of them once costs less than each of them, the
+   cluster takes their place.
 
 `components` finds the groups by alternating large and small stars, each round
 a join and two aggregates over the edge table, cut by a written table.
@@ -57,6 +59,18 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
+def _dense(rows: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(key, id, n, label) of open buckets, with one row an id, under a key of the cluster, for clusters that are cheaper to compare whole.
+
+    clusters: (id, root) of ids that share buckets, directly or through others. A bucket of n ids costs n * n comparisons.
+    """
+    rows = rows.join(clusters, "id", "left").withColumn("cluster", F.coalesce("root", "id")).drop("root")
+    ids = rows.groupBy("cluster", "id").agg(F.sum("n").alias("work"), F.min("label").alias("label"))
+    sizes = ids.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("work").alias("work")).filter("size * size <= work").select("cluster", "size")
+    whole = ids.join(sizes, "cluster").select(F.xxhash64("cluster", F.lit("cluster")).alias("key"), "id", F.col("size").alias("n"), "label")
+    return rows.join(sizes, "cluster", "left_anti").select("key", "id", "n", "label").unionByName(whole)
+
+
 def link(
     keys: DataFrame,
     payload: Callable[[DataFrame], DataFrame],
@@ -79,7 +93,7 @@ def link(
     sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("n > 1")
     members = scratch.save(keys.join(sizes, "key"), "members")
     star = members.filter("id != lo").select(F.col("lo").alias("a"), F.col("id").alias("b"))
-    star = star.unionByName(members.filter("id != lo and id != hi").select(F.col("id").alias("a"), F.col("hi").alias("b"))).distinct()
+    star = scratch.save(star.unionByName(members.filter("id != lo and id != hi").select(F.col("id").alias("a"), F.col("hi").alias("b"))).distinct(), "star")
 
     def verified(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The links among (a, b) pairs, and the payloads that were fetched."""
@@ -103,6 +117,8 @@ def link(
     left_over = scratch.save(labelled.join(open_, "key", "left_semi"), "open")
     if left_over.isEmpty():
         return roots
+    if sketch is None:
+        left_over = scratch.save(_dense(left_over, components(star, scratch)), "open")
     held = sketch if sketch is not None else loads
     columns = held.columns
     blocks = F.ceil(F.col("n") / block).cast("int")
@@ -117,8 +133,8 @@ def link(
         if sketch is not None:
             return ok & near(a["sk"], b["sk"])
         if "keys" in columns:
-            at = F.array_position(a["keys"], F.col("key")).cast("int")
-            ok = ok & ~F.arrays_overlap(F.slice(a["keys"], F.lit(1), at - 1), F.slice(b["keys"], F.lit(1), at - 1))
+            at = F.array_position(a["keys"], F.col("key")).cast("int")  # 0: the key of a cluster
+            ok = ok & ((at == 0) | ~F.arrays_overlap(F.slice(a["keys"], F.lit(1), F.greatest(at - 1, F.lit(0))), F.slice(b["keys"], F.lit(1), F.greatest(at - 1, F.lit(0)))))
         return ok & similar(a, b)
 
     name = "id" if sketch is not None else "label"
