@@ -94,3 +94,12 @@ def test_no_look_ahead(spark, sf):
     whole = R.apply(b, stages).filter(early).select("symbol", "ts", *names)
     part = R.apply(b.filter(early), stages).select("symbol", "ts", *names)
     assert whole.exceptAll(part).count() == 0
+
+
+def test_registries_need_no_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], check=True)

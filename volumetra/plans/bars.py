@@ -14,12 +14,16 @@ from volumetra.plans.registry import DUCK, EVENT, FLAG, NATION, TS, query
 from volumetra.sources import bars as B
 from volumetra.sources import files, synthetic
 
-TSTR = F.col("ts").cast("string").alias("ts")
+
+def tstr():
+    return F.col("ts").cast("string").alias("ts")
+
+
 _HOUR = "date_trunc('hour', ts)"
 
 
 def rounded(df, digits=6):
-    return df.select("symbol", TSTR, *[F.round(c, digits).alias(c) for c in B.OHLCV])
+    return df.select("symbol", tstr(), *[F.round(c, digits).alias(c) for c in B.OHLCV])
 
 
 def _out(digits=6):
@@ -69,7 +73,7 @@ def normalise(spark, sf_dir):
     t = e.select(F.col("event_type").alias("symbol"), F.date_trunc("hour", "ts").alias("ts"), "event_id", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("Close"), F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("Volume"))
     t = t.withColumnsRenamed({c: c.lower() for c in t.columns})
     t = t.withColumn("n", F.row_number().over(W.partitionBy("symbol", "ts").orderBy(F.desc("event_id")))).filter("n = 1 and close is not null")
-    return t.select("symbol", TSTR, F.round("close", 6).alias("close"), F.round(F.coalesce(F.col("volume").try_cast("double"), F.lit(0.0)), 6).alias("volume"))
+    return t.select("symbol", tstr(), F.round("close", 6).alias("close"), F.round(F.coalesce(F.col("volume").try_cast("double"), F.lit(0.0)), 6).alias("volume"))
 
 
 @query("s5_aggregates_payload", f"WITH {EVENT} SELECT {_out()} FROM bars")
@@ -151,7 +155,7 @@ def lake_write(spark, sf_dir):
 @query("k2_export_json", f"WITH {EVENT} SELECT symbol, count(*) AS n, CAST(min(ts) AS VARCHAR) AS first_ts, CAST(max(ts) AS VARCHAR) AS last_ts FROM bars GROUP BY symbol")
 def export_json(spark, sf_dir):
     """Rows to JSON objects and read again by schema."""
-    b = B.event_hourly(spark, sf_dir).select(F.to_json(F.struct("symbol", TSTR, *B.OHLCV)).alias("j"))
+    b = B.event_hourly(spark, sf_dir).select(F.to_json(F.struct("symbol", tstr(), *B.OHLCV)).alias("j"))
     back = b.select(F.from_json("j", "symbol string, ts string, close double").alias("r")).select("r.*")
     return back.groupBy("symbol").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
@@ -160,13 +164,13 @@ def export_json(spark, sf_dir):
 def chart_frame(spark, sf_dir):
     """What a chart shows: the last 400 bars of each symbol."""
     b = R.apply(B.event_hourly(spark, sf_dir), [{"peak": f"max(close) OVER ({R.ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"}, {"back": "row_number() OVER (PARTITION BY symbol ORDER BY ts DESC)"}])
-    return b.filter("back <= 400").select("symbol", TSTR, F.round("close", 6).alias("close"), F.round("peak", 6).alias("peak"))
+    return b.filter("back <= 400").select("symbol", tstr(), F.round("close", 6).alias("close"), F.round("peak", 6).alias("peak"))
 
 
 @query("l6_chart_tail", f"WITH {FLAG} SELECT symbol, {TS}, round(close, 6) AS close FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 400")
 def chart_tail(spark, sf_dir):
     b = B.flag_daily(spark, sf_dir).withColumn("n", F.row_number().over(W.partitionBy("symbol").orderBy(F.desc("ts")))).filter("n <= 400")
-    return b.select("symbol", TSTR, F.round("close", 6).alias("close"))
+    return b.select("symbol", tstr(), F.round("close", 6).alias("close"))
 
 
 @query("s9a_lake_symbols", f"WITH {NATION} SELECT DISTINCT symbol FROM bars")
@@ -217,7 +221,7 @@ def alt_signal(b):
 
 def bounded(spark, sf_dir):
     b = B.event_hourly(spark, sf_dir)
-    return align.asof_within(b, alt_signal(b), ["flow"]).select("symbol", TSTR, F.round("flow", 6).alias("flow"))
+    return align.asof_within(b, alt_signal(b), ["flow"]).select("symbol", tstr(), F.round("flow", 6).alias("flow"))
 
 
 query("j5_bounded_asof", f"WITH {EVENT}, a AS (SELECT symbol, ts + INTERVAL 30 MINUTE AS seen, close AS flow FROM bars WHERE hour(ts) % 6 = 0 AND ts > (SELECT min(ts) FROM bars) + INTERVAL 2 DAY), s AS (SELECT symbol, min(seen) AS f, max(seen) AS t FROM a GROUP BY symbol) SELECT b.symbol, CAST(b.ts AS VARCHAR) AS ts, round(CASE WHEN b.ts BETWEEN s.f AND s.t THEN a.flow END, 6) AS flow FROM bars b ASOF LEFT JOIN a ON b.symbol = a.symbol AND b.ts >= a.seen LEFT JOIN s ON b.symbol = s.symbol")(bounded)
@@ -231,17 +235,17 @@ def asof_coarse(spark, sf_dir):
     b = B.flag_daily(spark, sf_dir)
     w = resample_weekly(b).withColumn("ts", F.col("week_end").cast("timestamp"))
     w = w.withColumn("coarse", F.lag("close").over(W.partitionBy("symbol").orderBy("ts"))).select("symbol", "ts", "coarse")
-    return align.asof(b, w, ["coarse"]).select("symbol", TSTR, F.round("coarse", 6).alias("coarse"))
+    return align.asof(b, w, ["coarse"]).select("symbol", tstr(), F.round("coarse", 6).alias("coarse"))
 
 
 @query("j1_same_row_alignment", f"WITH {EVENT} SELECT symbol, {TS}, round(high - low, 6) AS span, round(abs(close - open), 6) AS body FROM bars")
 def same_row(spark, sf_dir):
-    return B.event_hourly(spark, sf_dir).select("symbol", TSTR, F.round(F.col("high") - F.col("low"), 6).alias("span"), F.round(F.abs(F.col("close") - F.col("open")), 6).alias("body"))
+    return B.event_hourly(spark, sf_dir).select("symbol", tstr(), F.round(F.col("high") - F.col("low"), 6).alias("span"), F.round(F.abs(F.col("close") - F.col("open")), 6).alias("body"))
 
 
 @query("j2_dates_across_names", f"WITH {NATION} SELECT CAST(ts AS VARCHAR) AS ts, count(*) AS names, round(avg(close), 4) AS mean_close FROM bars GROUP BY ts")
 def dates_across(spark, sf_dir):
-    return B.nation_weekly(spark, sf_dir).groupBy("ts").agg(F.count("*").alias("names"), F.round(F.avg("close"), 4).alias("mean_close")).select(TSTR, "names", "mean_close")
+    return B.nation_weekly(spark, sf_dir).groupBy("ts").agg(F.count("*").alias("names"), F.round(F.avg("close"), 4).alias("mean_close")).select(tstr(), "names", "mean_close")
 
 
 _COMMON = "c AS (SELECT ts FROM bars GROUP BY ts HAVING count(DISTINCT symbol) = (SELECT count(DISTINCT symbol) FROM bars))"
@@ -249,13 +253,13 @@ _COMMON = "c AS (SELECT ts FROM bars GROUP BY ts HAVING count(DISTINCT symbol) =
 
 @query("j3_common_dates", f"WITH {FLAG}, {_COMMON} SELECT symbol, {TS}, round(close, 6) AS close FROM bars WHERE ts IN (SELECT ts FROM c)")
 def common(spark, sf_dir):
-    return align.common_dates(B.flag_daily(spark, sf_dir)).select("symbol", TSTR, F.round("close", 6).alias("close"))
+    return align.common_dates(B.flag_daily(spark, sf_dir)).select("symbol", tstr(), F.round("close", 6).alias("close"))
 
 
 @query("u3_date_intersection", f"WITH {FLAG} SELECT CAST(ts AS VARCHAR) AS ts FROM (SELECT ts FROM bars WHERE symbol = 'A' INTERSECT SELECT ts FROM bars WHERE symbol = 'R')")
 def intersection(spark, sf_dir):
     b = B.flag_daily(spark, sf_dir)
-    return b.filter("symbol = 'A'").select("ts").intersect(b.filter("symbol = 'R'").select("ts")).select(TSTR)
+    return b.filter("symbol = 'A'").select("ts").intersect(b.filter("symbol = 'R'").select("ts")).select(tstr())
 
 
 @query("a26_equal_weight_curve", f"WITH {FLAG}, {_COMMON}, r AS (SELECT symbol, ts, 100 * close / first_value(close) OVER (PARTITION BY symbol ORDER BY ts) AS v FROM bars WHERE ts IN (SELECT ts FROM c)) SELECT CAST(ts AS VARCHAR) AS ts, round(avg(v), 4) AS value FROM r GROUP BY ts")
@@ -263,13 +267,13 @@ def equal_weight(spark, sf_dir):
     """Rebased to 100 on the first common date, averaged over names."""
     c = align.common_dates(B.flag_daily(spark, sf_dir))
     v = 100 * F.col("close") / F.first("close").over(W.partitionBy("symbol").orderBy("ts"))
-    return c.select("ts", v.alias("v")).groupBy("ts").agg(F.round(F.avg("v"), 4).alias("value")).select(TSTR, "value")
+    return c.select("ts", v.alias("v")).groupBy("ts").agg(F.round(F.avg("v"), 4).alias("value")).select(tstr(), "value")
 
 
 @query("j6_conditional_columns", f"WITH {EVENT} SELECT symbol, {TS}, round(close * 2, 6) AS alt_flow FROM bars")
 def conditional(spark, sf_dir):
     """An all-null signal adds no column."""
-    b = B.event_hourly(spark, sf_dir).select("symbol", TSTR, F.round(F.col("close") * 2, 6).alias("alt_flow"), F.lit(None).cast("double").alias("alt_sentiment"))
+    b = B.event_hourly(spark, sf_dir).select("symbol", tstr(), F.round(F.col("close") * 2, 6).alias("alt_flow"), F.lit(None).cast("double").alias("alt_sentiment"))
     return align.non_empty(b, ["alt_flow", "alt_sentiment"])
 
 
@@ -286,7 +290,7 @@ def positional(spark, sf_dir):
     i = B.indexed(B.event_hourly(spark, sf_dir)).select("symbol", "ts", "idx", "close")
     later = i.select("symbol", (F.col("idx") - 10).alias("idx"), F.col("close").alias("then"))
     j = i.filter("idx % 10 = 0").join(later, ["symbol", "idx"])
-    return j.select("symbol", F.col("idx").cast("long").alias("idx"), TSTR, F.round(F.col("then") / F.col("close") - 1, 6).alias("ret"))
+    return j.select("symbol", F.col("idx").cast("long").alias("idx"), tstr(), F.round(F.col("then") / F.col("close") - 1, 6).alias("ret"))
 
 
 _MEM = f"{NATION}, {_CUT}, l AS (SELECT symbol, min(ts) AS start, max(ts) AS last FROM b2 GROUP BY symbol), m AS (SELECT symbol, start, CASE WHEN date_diff('day', CAST(last AS DATE), CAST((SELECT max(last) FROM l) AS DATE)) > 180 THEN last END AS delist FROM l)"
@@ -364,7 +368,7 @@ def valid_bars(spark, sf_dir):
 
     h = F.hour("ts")
     b = B.event_hourly(spark, sf_dir).withColumns({"low": F.when(h == 3, F.col("high") + 1).otherwise(F.col("low")), "close": F.when(h == 5, F.lit(float("nan"))).otherwise(F.col("close")), "volume": F.when(h == 7, F.lit(0.0)).otherwise(F.col("volume"))})
-    return usable(b).select("symbol", TSTR, F.round("close", 6).alias("close"))
+    return usable(b).select("symbol", tstr(), F.round("close", 6).alias("close"))
 
 
 @query("p11_half_even", "SELECT DISTINCT l_quantity, round_even(l_quantity / 2, 0) AS half, round_even(l_quantity / 20, 1) AS tenth FROM lineitem")
@@ -394,27 +398,27 @@ def union_pool(spark, sf_dir):
 @query("u2_level_set", f"WITH {EVENT} SELECT symbol, {TS}, len(list_distinct([round(open, 1), round(high, 1), round(low, 1), round(close, 1)])) AS levels FROM bars")
 def level_set(spark, sf_dir):
     a = F.array_union(F.array(F.round("open", 1), F.round("high", 1)), F.array(F.round("low", 1), F.round("close", 1)))
-    return B.event_hourly(spark, sf_dir).select("symbol", TSTR, F.size(a).cast("long").alias("levels"))
+    return B.event_hourly(spark, sf_dir).select("symbol", tstr(), F.size(a).cast("long").alias("levels"))
 
 
 @query("l1_sort_dedupe", "SELECT event_type AS symbol, CAST(date_trunc('hour', ts) AS VARCHAR) AS ts, max(event_id) AS event_id FROM events GROUP BY 1, date_trunc('hour', ts)")
 def sort_dedupe(spark, sf_dir):
     """The last of duplicates, by an aggregate with map-side partials instead of a sort."""
     e = B.table(spark, sf_dir, "events")
-    return e.groupBy(F.col("event_type").alias("symbol"), F.date_trunc("hour", "ts").alias("ts")).agg(F.max("event_id").alias("event_id")).select("symbol", TSTR, "event_id")
+    return e.groupBy(F.col("event_type").alias("symbol"), F.date_trunc("hour", "ts").alias("ts")).agg(F.max("event_id").alias("event_id")).select("symbol", tstr(), "event_id")
 
 
 @query("l3_most_recent", f"WITH {EVENT} SELECT symbol, {TS}, CAST(row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS BIGINT) AS place FROM bars QUALIFY place <= 5")
 def most_recent(spark, sf_dir):
     b = B.event_hourly(spark, sf_dir).withColumn("place", F.row_number().over(W.partitionBy("symbol").orderBy(F.desc("ts"))).cast("long"))
-    return b.filter("place <= 5").select("symbol", TSTR, "place")
+    return b.filter("place <= 5").select("symbol", tstr(), "place")
 
 
 @query("l5_top_fraction", f"WITH {EVENT}, q AS (SELECT symbol, quantile_cont(volume + close / 1e6, 0.8) AS edge FROM bars GROUP BY symbol) SELECT symbol, {TS} FROM bars JOIN q USING (symbol) WHERE volume + close / 1e6 >= edge")
 def top_fraction(spark, sf_dir):
     b = B.event_hourly(spark, sf_dir).withColumn("x", F.expr("volume + close / 1e6"))
     edge = b.groupBy("symbol").agg(F.expr("percentile(x, 0.8)").alias("edge"))
-    return b.join(edge, "symbol").filter("x >= edge").select("symbol", TSTR)
+    return b.join(edge, "symbol").filter("x >= edge").select("symbol", tstr())
 
 
 @query("l7_top_features", "SELECT label, dim, round(m, 5) AS mean FROM (SELECT label, dim, m, row_number() OVER (PARTITION BY label ORDER BY round(abs(m), 7) DESC, dim) AS n FROM (SELECT label, i - 1 AS dim, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, (SELECT unnest(range(1, 65)) AS i) WHERE i <= len(embedding) GROUP BY 1, 2)) WHERE n <= 3")

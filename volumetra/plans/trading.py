@@ -11,7 +11,10 @@ from volumetra.operators import datasets, trading
 from volumetra.plans.registry import EVENT, FLAG, TS, query
 from volumetra.sources import bars as B
 
-TSTR = F.col("ts").cast("string").alias("ts")
+
+def tstr():
+    return F.col("ts").cast("string").alias("ts")
+
 
 _IDX = f"{EVENT}, i AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS idx, count(*) OVER (PARTITION BY symbol) AS n FROM bars)"
 _BARRIERS = f"""WITH {_IDX}, e AS (SELECT symbol, idx, n, CASE WHEN idx % 2 = 0 THEN 1 ELSE -1 END AS side, close AS entry, CASE WHEN high > low THEN (high - low) / close / 4 ELSE 0.01 END AS v FROM i WHERE idx % 3 = 0),
@@ -57,7 +60,7 @@ def walk_forward_trades(spark, sf_dir):
 
 @query("c12_equity_curve")
 def equity_curve(spark, sf_dir):
-    return _trades(spark, sf_dir, "curve").select("symbol", "idx", TSTR, F.round("equity", 4).alias("equity"))
+    return _trades(spark, sf_dir, "curve").select("symbol", "idx", tstr(), F.round("equity", 4).alias("equity"))
 
 
 @query("c12_backtest_summary")
@@ -113,7 +116,7 @@ def backtest_paths(spark, sf_dir):
 
 
 def _rounded(df, skip=("symbol", "ts", "idx", "sample_id", "side", "outcome", "win", "date_id")):
-    return df.select(*[TSTR if c == "ts" else F.round(c, 6).alias(c) if c not in skip else F.col(c) for c in df.columns])
+    return df.select(*[tstr() if c == "ts" else F.round(c, 6).alias(c) if c not in skip else F.col(c) for c in df.columns])
 
 
 def _dataset(name, build, view, **settings):
@@ -158,7 +161,7 @@ def multi_timeframe(spark, sf_dir):
     b = B.flag_daily(spark, sf_dir)
     w = resample_weekly(b).withColumn("ts", F.col("week_end").cast("timestamp"))
     w = R.apply(w, R.relative_volume(8)).withColumn("rvol", F.lag("rvol").over(W.partitionBy("symbol").orderBy("ts")))
-    return align.asof(b, w.select("symbol", "ts", "rvol"), ["rvol"]).select("symbol", TSTR, F.round("rvol", 6).alias("rvol_weekly"))
+    return align.asof(b, w.select("symbol", "ts", "rvol"), ["rvol"]).select("symbol", tstr(), F.round("rvol", 6).alias("rvol_weekly"))
 
 
 # --- streams ----------------------------------------------------------------
@@ -169,7 +172,7 @@ def streaming_bars(spark, sf_dir):
     """Hourly bars by a watermarked stream over the tick files, run to its end; equal to the batch."""
     from volumetra.streaming.bars import finished_bars
 
-    return finished_bars(spark, sf_dir).select("symbol", TSTR, F.round("high", 6).alias("high"), F.round("low", 6).alias("low"), F.round("volume", 6).alias("volume"))
+    return finished_bars(spark, sf_dir).select("symbol", tstr(), F.round("high", 6).alias("high"), F.round("low", 6).alias("low"), F.round("volume", 6).alias("volume"))
 
 
 @query("st2_streaming_sessions", "WITH t AS (SELECT event_type AS symbol, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY event_type ORDER BY ts) + INTERVAL 90 MINUTE THEN 1 ELSE 0 END AS gap FROM events), s AS (SELECT symbol, ts, sum(gap) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM t) SELECT symbol, CAST(min(ts) AS VARCHAR) AS start_ts, count(*) AS ticks FROM s GROUP BY symbol, k")
