@@ -44,7 +44,7 @@ def bar_views(spark, sf_dir):
     return every.groupBy("view").agg(F.countDistinct("symbol").alias("symbols"), F.count("*").alias("n_bars"), F.round(F.sum("volume"), 3).alias("volume"))
 
 
-_TICKS = "SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, event_id, value - 5 AS open, value - 3 AS high, value - 6 AS low, value - 4 AS close, 1.0 AS volume FROM events"
+_TICKS = "SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, event_id, value - 5 AS open, value - 3 AS high, value - 6 AS low, value - 4 AS close, CAST(1 AS DOUBLE) AS volume FROM events"
 
 
 @query("s2_bar_validation", f"WITH t AS ({_TICKS}), d AS (SELECT *, row_number() OVER (PARTITION BY symbol, ts ORDER BY event_id DESC) AS n FROM t) SELECT {_out()} FROM d WHERE n = 1 AND open > 0 AND high > 0 AND low > 0 AND close > 0 AND high >= low")
@@ -337,7 +337,7 @@ def coverage(spark, sf_dir):
     return universe.coverage(audited(spark, sf_dir)).select("category", F.round("fraction", 6).alias("fraction"), "n")
 
 
-@query("g3_known_delisted_audit", "SELECT * FROM (VALUES ('acquisition', 15, 0.0), ('bankruptcy', 11, 0.0)) AS t(category, n, fraction)")
+@query("g3_known_delisted_audit", "SELECT category, CAST(n AS BIGINT) AS n, CAST(fraction AS DOUBLE) AS fraction FROM (VALUES ('acquisition', 15, 0.0), ('bankruptcy', 11, 0.0)) AS t(category, n, fraction)")
 def known_audit(spark, sf_dir):
     """The catalogue against a feed that has none of its names."""
     return universe.coverage(universe.audit(universe.known_gone(spark).select("symbol", "category"), B.event_hourly(spark, sf_dir))).select("category", "n", "fraction")

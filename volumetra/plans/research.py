@@ -409,7 +409,7 @@ def pooled_overlap(spark, sf_dir):
 
 # --- verdicts ---------------------------------------------------------------
 
-_GRID = "g AS (SELECT p.v AS p_value, o.v AS pbo, i.v AS inverts, d.v AS dsr FROM (VALUES (0.01), (0.2), (NULL)) p(v), (VALUES (0.1), (0.7), (NULL)) o(v), (VALUES (true), (false), (NULL)) i(v), (VALUES (0.99), (0.5), (NULL)) d(v))"
+_GRID = "g AS (SELECT CAST(p.v AS DOUBLE) AS p_value, CAST(o.v AS DOUBLE) AS pbo, i.v AS inverts, CAST(d.v AS DOUBLE) AS dsr FROM (VALUES (0.01), (0.2), (NULL)) p(v), (VALUES (0.1), (0.7), (NULL)) o(v), (VALUES (true), (false), (NULL)) i(v), (VALUES (0.99), (0.5), (NULL)) d(v))"
 
 
 def grid(spark, survives=False):

@@ -251,7 +251,7 @@ def centered_rank(bars, columns):
     n = "count(*) OVER (PARTITION BY ts)"
     for c in columns:
         r = f"(rank() OVER (PARTITION BY ts ORDER BY {c}) + (count(*) OVER (PARTITION BY ts, {c}) - 1) / 2.0 - 1)"
-        bars = bars.withColumn(f"rank_{c}", F.expr(f"CASE WHEN {n} < 2 THEN 0.0 ELSE {r} / ({n} - 1) - 0.5 END"))
+        bars = bars.withColumn(f"rank_{c}", F.expr(f"CAST(CASE WHEN {n} < 2 THEN 0.0 ELSE CAST({r} AS DOUBLE) / ({n} - 1) - 0.5 END AS DOUBLE)"))
     return bars
 
 

@@ -148,7 +148,8 @@ def _behavioral_oracle():
 
 @query("c16_behavioral_dataset", _behavioral_oracle())
 def behavioral_dataset(spark, sf_dir):
-    return _rounded(datasets.behavioral(B.event_hourly(spark, sf_dir)))
+    d = datasets.behavioral(B.event_hourly(spark, sf_dir))
+    return _rounded(d.withColumns({c: F.col(c).cast("long") for c in ("idx", "sample_id")}))
 
 
 @query("c17_multi_timeframe_feature", f"WITH {FLAG}, w AS (SELECT symbol, CAST(CAST(date_trunc('week', ts) AS DATE) + 6 AS TIMESTAMP) AS wk, sum(volume) AS volume FROM bars GROUP BY 1, 2), f AS (SELECT symbol, wk, CASE WHEN count(volume) OVER (PARTITION BY symbol ORDER BY wk ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) >= 8 THEN volume / (avg(volume) OVER (PARTITION BY symbol ORDER BY wk ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) + 1e-12) - 1 END AS rvol FROM w), l AS (SELECT symbol, wk, lag(rvol) OVER (PARTITION BY symbol ORDER BY wk) AS prev FROM f), z AS (SELECT * FROM l WHERE prev IS NOT NULL) SELECT b.symbol, CAST(b.ts AS VARCHAR) AS ts, round(z.prev, 6) AS rvol_weekly FROM bars b ASOF LEFT JOIN z ON b.symbol = z.symbol AND b.ts >= z.wk")
