@@ -73,9 +73,9 @@ def test_defined_results(odd):
     q = [r for r in quality.quality(odd).collect() if r["doc_id"] in (1, 2, 6)]
     assert all(r["base_failed"] and not r["kept"] and r["n_words"] == 0 for r in q)
     n = {(r["doc_id"], r["n_shingles"]): (r["component_id"], r["kept"]) for r in neardup.near_duplicates(odd).collect()}
-    assert n[(5, 8)] == (3, False) and n[(3, 8)] == (3, True) and n[(1, 0)] == (1, True)
+    assert n[(5, 9)] == (3, False) and n[(3, 9)] == (3, True) and n[(1, 0)] == (1, True)
     p = by_id(passages.dedup_passages(odd.filter("doc_id is not null")))
-    assert (p[3]["n_removed"], p[5]["n_removed"], p[1]["n_words"]) == (0, 0, 0)  # eleven words are no window
+    assert (p[3]["n_removed"], p[5]["n_removed"], p[1]["n_words"]) == (0, 0, 0)  # twelve words are no window
     lang = by_id(langid.cross_parse(odd.filter("doc_id is not null")))
     assert lang[1]["lang_pred"] == lang[2]["lang_pred"] == "und" and lang[1]["score"] == 0
 
