@@ -108,6 +108,48 @@ def test_fuzzy_lines(spark):
     assert out[2]["n_removed"] == 1
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+        row = new
+    return row[-1]
+
+
+def test_near_lines_are_candidates(spark):
+    """Pairs at 0.8 edit similarity or more, by brute force, share a key; three bits of a SimHash passed few of them."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9)))
+    pairs = []
+    while len(pairs) < 200:
+        a = [word() for _ in range(rng.choice([6, 10, 20, 30]))]
+        if len(pairs) % 4 == 3:
+            a = ["".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(40))]  # a script without spaces
+            b = ["".join(c if i != 20 else "x" for i, c in enumerate(a[0]))]
+        else:
+            b = [word() if rng.random() < 0.12 else w for w in a]
+        x, y = " ".join(a), " ".join(b)
+        if x != y and edit_distance(x, y) <= max(len(x), len(y)) // 5:
+            pairs.append((x, y))
+    df = spark.createDataFrame([(2 * i + k, p[k]) for i, p in enumerate(pairs) for k in (0, 1)], "id long, norm string")
+    keys = {}
+    for r in lines.band_keys(df, range(lines.BANDS)).collect():
+        keys.setdefault(r["id"], set()).add(r["key"])
+    found = sum(bool(keys[2 * i] & keys[2 * i + 1]) for i in range(len(pairs)))
+    assert found >= 0.97 * len(pairs), found
+    assert not any(keys[2 * i] & keys[2 * i + 2] for i in range(len(pairs) - 1))
+
+
+def test_near_lines_are_removed(spark):
+    rng = random.Random(12)
+    base = " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(20))
+    near = base.replace(base.split()[7], "zzzzz").replace(base.split()[14], "yyyyy")
+    out = by_id(lines.dedup_lines(spark.createDataFrame([(1, base), (2, near)], "doc_id long, text string")))
+    assert [out[i]["n_removed"] for i in (1, 2)] == [0, 1]
+
+
 def test_simhash_is_a_majority(spark):
     rng = random.Random(1)
     words = [[f"w{rng.randrange(50)}" for _ in range(n)] for n in (1, 5, 64, 511)]
