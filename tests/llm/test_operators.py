@@ -150,6 +150,14 @@ def test_near_lines_are_removed(spark):
     assert [out[i]["n_removed"] for i in (1, 2)] == [0, 1]
 
 
+def test_long_lines_and_numbers(spark):
+    rng = random.Random(13)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(70)]
+    rows = [(1, " ".join(words)), (2, " ".join("zzzzzz" if i % 14 == 7 else w for i, w in enumerate(words))), (3, "page 12 of the yearly report 2019"), (4, "page 98 of the yearly report 2020")]
+    out = by_id(lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert len(rows[0][1]) > 400 and [out[i]["n_removed"] for i in (1, 2, 3, 4)] == [0, 1, 0, 1]
+
+
 def test_simhash_is_a_majority(spark):
     rng = random.Random(1)
     words = [[f"w{rng.randrange(50)}" for _ in range(n)] for n in (1, 5, 64, 511)]
