@@ -158,6 +158,12 @@ def test_long_lines_and_numbers(spark):
     assert len(rows[0][1]) > 400 and [out[i]["n_removed"] for i in (1, 2, 3, 4)] == [0, 1, 0, 1]
 
 
+def test_short_lines(spark):
+    rows = [(1, "Home\nAbout us\n1\n---\n\n日本語"), (2, "home\nabout us!\n2\n---\n\n日本語")]
+    out = by_id(lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert out[1]["text"] == rows[0][1] and out[2]["text"] == "2\n---\n" and out[2]["n_removed"] == 3
+
+
 def test_simhash_is_a_majority(spark):
     rng = random.Random(1)
     words = [[f"w{rng.randrange(50)}" for _ in range(n)] for n in (1, 5, 64, 511)]
