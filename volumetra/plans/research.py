@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from volumetra.sources import bars as B
 
 HORIZON, STRIDE = 20, 3
 PURGE = Q.purge_of(HORIZON, STRIDE)
+#: The reference's n_permutations: the least p is 1 / 201.
+PERMUTATIONS = 200
 _, BEHAVIORAL = R.behavioral()
 FOUR = ["rvol_21", "clv_pressure_21", "accum_slope_21", "price_ext_21"]
 
@@ -199,7 +202,7 @@ def panel_evaluation(spark, sf_dir):
 
 @query("m9_within_date_permutation")
 def within_date(spark, sf_dir):
-    e = Q.panel_evaluation(panel(spark, sf_dir), n=30).groupBy("replicate").agg(F.avg("ic").alias("ic"), F.count("*").alias("n"))
+    e = Q.panel_evaluation(panel(spark, sf_dir), n=PERMUTATIONS).groupBy("replicate").agg(F.avg("ic").alias("ic"), F.count("*").alias("n"))
     return Q.pooled_p(e)
 
 
@@ -221,12 +224,12 @@ def top_fraction(spark, sf_dir):
 
 @query("m7_row_permutation")
 def row_permutation(spark, sf_dir):
-    return Q.p_by_symbol(Q.permuted_ic(behavioral(spark, sf_dir), FOUR, PURGE, 30), ["ic"])
+    return Q.p_by_symbol(Q.permuted_ic(behavioral(spark, sf_dir), FOUR, PURGE, PERMUTATIONS), ["ic"])
 
 
 @query("m8_meta_permutation")
 def meta_permutation(spark, sf_dir):
-    return Q.p_by_symbol(Q.permuted_meta(meta_data(spark, sf_dir), FOUR, PURGE, 5), ["auc", "lift"])
+    return Q.p_by_symbol(Q.permuted_meta(meta_data(spark, sf_dir), FOUR, PURGE, PERMUTATIONS), ["auc", "lift"])
 
 
 @query("m10_block_ids", f"WITH {_SAMPLES} SELECT symbol, sample_id, sample_id // {learn.block_size(HORIZON, STRIDE)} AS block FROM s")
@@ -237,21 +240,21 @@ def block_ids(spark, sf_dir):
 
 @query("m10_block_permutation")
 def block_permutation(spark, sf_dir):
-    return Q.p_by_symbol(Q.permuted_ic(behavioral(spark, sf_dir), FOUR, PURGE, 30, block=learn.block_size(HORIZON, STRIDE)), ["ic"])
+    return Q.p_by_symbol(Q.permuted_ic(behavioral(spark, sf_dir), FOUR, PURGE, PERMUTATIONS, block=learn.block_size(HORIZON, STRIDE)), ["ic"])
 
 
 @query("m11_pooled_p")
 def pooled(spark, sf_dir):
-    return Q.pooled_p(Q.permuted_ic(behavioral(spark, sf_dir), FOUR, PURGE, 30, block=learn.block_size(HORIZON, STRIDE)))
+    return Q.pooled_p(Q.permuted_ic(behavioral(spark, sf_dir), FOUR, PURGE, PERMUTATIONS, block=learn.block_size(HORIZON, STRIDE)))
 
 
 @query("m4_kmeans")
 def kmeans(spark, sf_dir):
-    """Clusters of the embeddings' first dimensions: the exact k-means on one group."""
-    e = B.table(spark, sf_dir, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)])
+    """Clusters of the whole embeddings: the exact k-means on one group."""
+    e = B.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
 
     def run(pdf):
-        X = pdf.sort_values("vec_id")[[f"e{i}" for i in range(8)]].to_numpy(float)
+        X = np.stack(pdf.sort_values("vec_id")["embedding"].to_numpy()).astype(float)
         c, loss, mu, sd = learn.kmeans(X, 3)
         import pandas as pd
 
@@ -466,4 +469,4 @@ def injection_sweep(spark, sf_dir):
 @query("g6_honest_report")
 def honest_report(spark, sf_dir):
     rungs = [(x["fraction"], x["pooled_ic"], x["ls_net"]) for x in injection_sweep(spark, sf_dir).orderBy("fraction").collect()]  # three rows
-    return Q.honest_report(behavioral(spark, sf_dir), FOUR, HORIZON, STRIDE, perms=30, n_trials=11, sweep=rungs)
+    return Q.honest_report(behavioral(spark, sf_dir), FOUR, HORIZON, STRIDE, perms=PERMUTATIONS, n_trials=11, sweep=rungs)
