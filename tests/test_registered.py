@@ -37,3 +37,30 @@ def test_kmeans_reads_every_dimension(spark, monkeypatch):
     monkeypatch.setattr(B, "table", lambda *_: spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
     got = {r["vec_id"]: r["cluster"] for r in catalog.queries()["m4_kmeans"](spark, None).collect()}
     assert len(set(got.values())) == 3 and all(got[i] == got[i % 3] for i in range(30))
+
+
+@pytest.mark.parametrize("name", ["c12_walk_forward_trades", "c12_equity_curve", "c12_backtest_summary", "c13_style_sweep", "v2_backtest_paths"])
+def test_signals_on_every_bar(spark, sf, monkeypatch, name):
+    from volumetra.operators import trading
+
+    strides, real, back = [], trading.candidate_signals, trading.backtest
+
+    def signals(bars, lookback=120, stride=1, *args, **kw):
+        strides.append(stride)
+        return real(bars, lookback, stride, *args, **kw)
+
+    def backtest(*args, **kw):
+        strides.append(kw.get("stride", 1))
+        return back(*args, **kw)
+
+    monkeypatch.setattr(trading, "candidate_signals", signals)
+    monkeypatch.setattr(trading, "backtest", backtest)
+    catalog.queries()[name](spark, sf)
+    assert strides and set(strides) == {1}
+
+
+@pytest.mark.parametrize("name", ["c15_structural_dataset", "c15_structural_meta_dataset", "c16_confluence_dataset", "c16_enriched_dataset", "c16_meta_dataset", "c16_indicator_dataset"])
+def test_datasets_keep_their_strides(name):
+    import inspect
+
+    assert "stride" not in inspect.getclosurevars(catalog.queries()[name]).nonlocals["settings"]

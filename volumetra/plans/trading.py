@@ -47,7 +47,7 @@ def trade_statistics(spark, sf_dir):
     return s.select("symbol", "n_trades", F.round("win_rate", 6).alias("win_rate"), F.round("profit_factor", 4).alias("profit_factor"), F.round("expectancy", 6).alias("expectancy"))
 
 
-def _trades(spark, sf_dir, what="trades", style="reversion", lookback=120, stride=4):
+def _trades(spark, sf_dir, what="trades", style="reversion", lookback=120, stride=1):
     b = B.event_hourly(spark, sf_dir)
     return trading.backtest(b, trading.candidate_signals(b, lookback, stride, style), what, lookback=lookback, stride=stride)
 
@@ -66,9 +66,9 @@ def equity_curve(spark, sf_dir):
 @query("c12_backtest_summary")
 def backtest_summary(spark, sf_dir):
     b = B.event_hourly(spark, sf_dir)
-    s = trading.candidate_signals(b, 120, 4)
-    t = trading.trade_stats(trading.backtest(b, s, "trades", stride=4), ["symbol"])
-    c = trading.curve_stats(trading.backtest(b, s, "curve", stride=4), ["symbol"], "1h")
+    s = trading.candidate_signals(b, 120)
+    t = trading.trade_stats(trading.backtest(b, s, "trades"), ["symbol"])
+    c = trading.curve_stats(trading.backtest(b, s, "curve"), ["symbol"], "1h")
     return c.join(t, "symbol", "left").select("symbol", "n_bars", F.coalesce("n_trades", F.lit(0)).alias("n_trades"), F.round((F.col("final_equity") / 10000 - 1) * 100, 4).alias("total_return_pct"), "max_drawdown_pct", "sharpe", "win_rate", "profit_factor", "expectancy", "avg_r")
 
 
@@ -77,7 +77,7 @@ def style_sweep(spark, sf_dir):
     """Every symbol under every style: one plan, a union of two signal sets over the same bars."""
     out = None
     for style in ("reversion", "breakout"):
-        s = trading.trade_stats(_trades(spark, sf_dir, style=style, stride=8), ["symbol"]).withColumn("style", F.lit(style))
+        s = trading.trade_stats(_trades(spark, sf_dir, style=style), ["symbol"]).withColumn("style", F.lit(style))
         out = s if out is None else out.unionByName(s)
     return out
 
@@ -107,8 +107,8 @@ def backtest_paths(spark, sf_dir):
     # each group's bars and its warm-up, as a symbol of its own
     parts = b.drop("g").join(edge, "symbol").filter((F.col("idx") >= F.col("a") - lookback) & (F.col("idx") <= F.col("z")))
     parts = parts.select(F.concat_ws("#", "symbol", "g").alias("symbol"), "ts", *B.OHLCV)
-    s = trading.candidate_signals(parts, lookback, 8)
-    c = trading.curve_stats(trading.backtest(parts, s, "curve", stride=8), ["symbol"], "1h")
+    s = trading.candidate_signals(parts, lookback)
+    c = trading.curve_stats(trading.backtest(parts, s, "curve"), ["symbol"], "1h")
     r = c.select(F.split("symbol", "#")[0].alias("symbol"), F.split("symbol", "#")[1].cast("int").alias("g"), ((F.col("final_equity") / 10000 - 1) * 100).alias("ret"), "sharpe")
     paths = spark.createDataFrame([(i, g) for i, k in enumerate(combinations(range(6), 2)) for g in k], "path int, g int")
     p = r.join(F.broadcast(paths), "g").groupBy("symbol", "path").agg(F.count("*").alias("k"), F.avg("ret").alias("ret"), F.avg("sharpe").alias("sharpe")).filter("k = 2")
@@ -127,11 +127,11 @@ def _dataset(name, build, view, **settings):
 
 
 _dataset("c14_structural_walk", lambda b: datasets.structural_rows(b, 120, 20, 6).drop("shape"), "event")
-_dataset("c15_structural_dataset", datasets.structural, "event", stride=6)
-_dataset("c15_structural_meta_dataset", datasets.structural_meta, "event", stride=6)
-_dataset("c16_confluence_dataset", datasets.confluence, "event", stride=10)
-_dataset("c16_enriched_dataset", datasets.enriched, "event", stride=10)
-_dataset("c16_meta_dataset", datasets.meta, "event", stride=10)
+_dataset("c15_structural_dataset", datasets.structural, "event")
+_dataset("c15_structural_meta_dataset", datasets.structural_meta, "event")
+_dataset("c16_confluence_dataset", datasets.confluence, "event")
+_dataset("c16_enriched_dataset", datasets.enriched, "event")
+_dataset("c16_meta_dataset", datasets.meta, "event")
 _dataset("c16_indicator_dataset", datasets.indicator, "event")
 
 
