@@ -96,6 +96,13 @@ def test_license_places(spark):
     assert out[4]["labels"] == "apache-2.0" and 0 < out[5]["score"] < 1 and out[5]["labels"] == "apache-2.0" and out[6]["labels"] == ""
 
 
+def test_altered_notices_beside_base_phrases(spark):
+    bsd = "redistribution and use in source and binary forms with or without any modification are permitted"
+    texts = ["licensed under the new GNU General Public License version 3", f"All rights reserved. {bsd}", "licensed under the gnu general public license version 2"]
+    out = by_id(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [out[i]["labels"] for i in range(3)] == ["gpl,gpl-3.0", "bsd,reserved", "gpl,gpl-2.0"]
+
+
 # --- 2 ----------------------------------------------------------------------
 
 

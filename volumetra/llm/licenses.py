@@ -48,7 +48,7 @@ TEMPLATES = (
 )
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 K = 2
-#: Verified spans that start within so many words of each other are rivals.
+#: For the SQL equivalent alone: there, spans that start within so many words of each other are rivals.
 RIVAL = 16
 
 
@@ -82,9 +82,13 @@ def spans(docs: DataFrame, key: list[str], words: str, templates, slack: int = 2
     covered = F.bit_count("merged") / F.col("grams")
     enough = F.when(F.col("base"), F.lit(1.0)).otherwise(F.when(F.col("grams") < 5, F.lit(1.0)).otherwise(F.lit(coverage)))
     votes = votes.withColumn("covered", covered).filter(F.col("covered") >= enough)
-    # Templates that share words also share a span: the best covered one has it.
-    there = W.partitionBy(*key).orderBy("diagonal").rangeBetween(-RIVAL, RIVAL)
-    return votes.withColumn("best", F.max("covered").over(there)).filter(F.col("base") | (F.col("covered") == F.col("best"))).drop("best")
+    # Templates that share words also share a span: the best covered one has it. Base phrases are no rivals.
+    most = max(len(phrase.split()) for phrase, *_ in templates)
+    there = W.partitionBy(*key).orderBy("diagonal").rangeBetween(-most, most)
+    rivals = F.collect_list(F.when(~F.col("base"), F.struct("diagonal", "grams", "covered"))).over(there)
+    meets = lambda x: (x["diagonal"] <= F.col("diagonal") + F.col("grams")) & (F.col("diagonal") <= x["diagonal"] + x["grams"])
+    votes = votes.withColumn("rivals", rivals).withColumn("best", F.array_max(F.transform(F.filter("rivals", meets), lambda x: x["covered"])))
+    return votes.filter(F.col("base") | (F.col("covered") == F.col("best"))).drop("best", "rivals")
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, slack: int = 2, coverage: float = 0.8) -> DataFrame:
