@@ -460,3 +460,31 @@ def test_line_rules(spark):
     text = f"{clean}\nHome | News | Sport | Shop | Login\nWe use it: see our cookie policy.\n{clean} Again."
     r = quality.quality(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert r["clean_text"] == f"{clean}\n{clean} Again."
+
+
+# --- batches over the size at which they are sliced ---------------------------
+
+
+def test_words_of_a_slice():
+    import pyarrow as pa
+
+    from volumetra.llm.common import word_lists
+
+    whole = pa.array(["AbC d", None, "Déf GH", "xYz", "", "QQ rr SS"])
+    for a in range(len(whole)):
+        flat, offsets = word_lists(whole.slice(a), lower=True)
+        expect = [(t or "").lower().split() for t in whole.to_pylist()[a:]]
+        assert [flat.to_pylist()[i:j] for i, j in zip(offsets[:-1], offsets[1:])] == expect
+
+
+@pytest.mark.parametrize("name", [n for n in operators() if n not in ("licenses", "lines", "pii", "sanitise", "quality")])
+def test_sliced_batches(spark, name):
+    """One Arrow batch of 9 MB, cut into slices, gives what rows alone in their batches give."""
+    rng = random.Random(21)
+    words = ["".join(rng.choice("aeioubdfgklmnprst") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    base = [" ".join(rng.choice(words).title() for _ in range(33_000)) for _ in range(28)]
+    texts = base + [base[3], base[20] + " Tail", None, "", base[9][:1000] + base[27][-1000:]]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    run = operators()[name]
+    rows = lambda d: sorted(map(str, run(d).drop("sequence_id", "offset").collect()))
+    assert rows(docs.coalesce(1)) == rows(docs.repartition(len(texts)))

@@ -137,7 +137,8 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def word_lists(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
     """(flat words, offsets) of a string array: text i has words offsets[i]..offsets[i+1]."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    # a cast slice keeps its parent's buffers, which ascii_lower reads from the start; what take returns starts at 0
+    texts = pc.fill_null(texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string()), "")
     if lower:
         texts = pc.ascii_lower(texts)
     parts = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(texts))
