@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 #: Whitespace of the word rule `[^\x20\x09-\x0D]+`.
 ASCII_SPACE = "\t\n\x0b\f\r"
 BROADCAST_ROWS = 200_000
+FILTER_BITS = 1 << 24
+HOT, HOT_LEAST, SALTS = 1000, 1000, 32
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -54,11 +56,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where unset (tests)."""
+    """The folder that driver and executors share; where it is unset, a temporary one on a local master (tests) alone."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not getattr(sc, "_volumetra_scratch", None):
         sc._volumetra_scratch = tempfile.mkdtemp(prefix="volumetra-scratch-")
         atexit.register(shutil.rmtree, sc._volumetra_scratch, ignore_errors=True)
@@ -104,9 +108,35 @@ class Scratch:
                 p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small_side(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a narrow side whose row count was taken and is within the bound, else leave it to a shuffle."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")
+def only(df: DataFrame, ids: DataFrame, column: str, rows: int) -> DataFrame:
+    """The rows of df whose column stands in ids, a written table of that many distinct values.
+
+    Up to BROADCAST_ROWS they are broadcast. Beyond, a filter of FILTER_BITS bits is, whatever their number, and what
+    passes it meets the ids in a shuffle; so texts that are not wanted stay where they are.
+    """
+    if rows <= BROADCAST_ROWS:
+        return df.join(F.broadcast(ids), column, "left_semi")
+    place = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+    bits = ids.select(place.alias("at")).groupBy(F.floor(F.col("at") / 64).alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int"))).alias("_bits"))
+    passed = df.withColumn("_at", place).join(F.broadcast(bits), F.floor(F.col("_at") / 64) == F.col("_word"))
+    passed = passed.filter(F.call_function("getbit", F.col("_bits"), F.pmod("_at", F.lit(64)).cast("int")) == 1).drop("_at", "_word", "_bits")
+    return passed.join(ids, column, "left_semi")
+
+
+def salted_join(rows: DataFrame, side: DataFrame, key: str, other: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined to side, which has one row a key and n, how many rows have that key; n is dropped.
+
+    Keys of more than 1 / HOT of the total, 2 * HOT of them at most, are broadcast, and their rows dealt by the column
+    other to SALTS tasks.
+    """
+    limit = max(HOT_LEAST, total // HOT)
+    if total <= limit:
+        return rows.join(side.drop("n"), key, how)
+    hot = side.filter(F.col("n") > limit).select(F.col(key).alias("_hot"))
+    rows = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    rows = rows.withColumn("_salt", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int"))).drop("_hot")
+    salts = F.when(F.col("n") > limit, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return rows.join(side.withColumn("_salt", F.explode(salts)).drop("n"), [key, "_salt"], how).drop("_salt")
 
 
 # --- words -----------------------------------------------------------------

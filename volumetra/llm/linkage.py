@@ -3,31 +3,39 @@
 `link` gets (key, id) rows: ids that share a key may be similar. It works in two
 exact steps.
 
-1. In each bucket every id is compared to the smallest and the largest one:
-   linear in the bucket. Verified links give components.
-2. Buckets that still hold more than one component are cut into blocks of about
-   BLOCK ids by a hash; every two blocks of a bucket meet in one row, where ids
-   of different components are compared inside the row. Only links between
-   components come out. So every two ids of a bucket end up compared or already
-   in one component; nothing is dropped. Where buckets overlap so much that
-   comparing a whole cluster of them once costs less than each of them, the
-   cluster takes their place.
+1. In each bucket every id is compared to three others: the smallest, the
+   largest, and the hub, the id with the fullest buckets, which is the one that
+   copies with a change each have in common. That is linear in the bucket.
+   Verified links give components.
+2. Buckets that still hold more than one component are cut into blocks of a
+   bounded number of ids and bytes; every two blocks of a bucket meet in one row
+   where ids of different components are compared. So every two ids of a bucket
+   end up compared or already in one component; nothing is dropped. Where buckets
+   overlap so much that comparing a whole cluster of them once costs less than
+   each of them, the cluster takes their place.
 
 `components` finds the groups by alternating large and small stars, each round
-a join and two aggregates over the edge table, cut by a written table.
+two joins and two aggregates over the edge table, cut by a written table. A
+vertex with more than 1 / HOT of all edges is salted in the joins; there are HOT
+of them at most.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from volumetra.llm.common import Scratch
+from volumetra.llm.common import Scratch, salted_join
 
-BLOCK = 64
+#: A block holds about so many ids, and so many elements of their payloads.
+BLOCK, BLOCK_SIZE = 256, 400_000
 ROUNDS = 60
+#: So many edges are joined up in one task before the stars begin.
+LOCAL_EDGES = 2_000_000
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -35,28 +43,64 @@ def _mark(edges: DataFrame) -> tuple:
     return r["n"], r["x"], r["y"]
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b) edges to (id, root) for every id with an edge, but for the roots themselves: root is the smallest id reachable."""
+def _contract(frames):
+    """Edges of one partition to its stars: (u, v), v the smallest id that u reaches inside the partition."""
+    parts = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in frames]
+    if not parts:
+        return
+    u, v = (np.concatenate(x) for x in zip(*parts))
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(ids))
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        while not np.array_equal(new, new[new]):
+            new = new[new]
+        if np.array_equal(new, root):
+            break
+        root = new
+    child = np.flatnonzero(root != np.arange(len(ids)))
+    yield pa.RecordBatch.from_arrays([pa.array(ids[child]), pa.array(ids[root[child]])], ["u", "v"])
+
+
+def components(edges: DataFrame, scratch: Scratch, native: bool = True) -> DataFrame:
+    """(a, b) edges to (id, root) for every id with an edge, but for the roots themselves: root is the smallest id reachable.
+
+    Not native, the edges are first joined up inside partitions of LOCAL_EDGES.
+    """
     e = edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = scratch.save(e, "edges")
     mark = _mark(e)
+    done = not mark[0]
+    if not native and not done:
+        parts = -(-mark[0] // LOCAL_EDGES)
+        new = scratch.save(e.coalesce(parts).mapInArrow(_contract, "u long, v long"), "edges")
+        scratch.drop(e)
+        e, done = new, parts == 1
+        mark = _mark(e)
     for _ in range(ROUNDS):
-        if not mark[0]:
+        if done:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        # (v, u) with v > u becomes (v, the smallest around u)
+        large = salted_join(e.select(F.col("v").alias("u"), F.col("u").alias("v")), low, "u", "v", mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = salted_join(large, low, "u", "v", mark[0])
         small = small.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         new = scratch.save(small, "edges")
         scratch.drop(e)
         e, before, mark = new, mark, _mark(new)
-        if mark == before:
-            break
+        done = mark == before
     else:
-        raise RuntimeError("components did not settle")
-    return e.select(F.col("u").alias("id"), F.col("v").alias("root"))
+        if not done:
+            raise RuntimeError("components did not settle")
+    out = e.select(F.col("u").alias("id"), F.col("v").alias("root"))
+    out._scratch_path = e._scratch_path
+    return out
 
 
 def _dense(rows: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -71,74 +115,73 @@ def _dense(rows: DataFrame, clusters: DataFrame) -> DataFrame:
     return rows.join(sizes, "cluster", "left_anti").select("key", "id", "n", "label").unionByName(whole)
 
 
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """key, id, n, lo, hi of the (key, id) rows whose key another id has too. One exchange: both sides of the join read it."""
+    keys = keys.repartition("key")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("n > 1")
+    return keys.join(sizes, "key")
+
+
+def native_blocks(similar: Callable[[Column, Column], Column], columns: list[str]) -> Callable[[DataFrame], DataFrame]:
+    """Compares the blocks of each row inside the row: (same, pa, pb) to distinct (a, b) of labels that are linked."""
+
+    def compare(met: DataFrame) -> DataFrame:
+        fits = lambda a, b: (a["label"] != b["label"]) & (~F.col("same") | (a["id"] < b["id"])) & similar(a, b)
+        found = F.transform("pa", lambda a: F.transform(F.filter("pb", lambda b: fits(a, b)), lambda b: F.struct(a["label"].alias("a"), b["label"].alias("b"))))
+        return met.select(F.explode(F.array_distinct(F.flatten(found))).alias("e")).select("e.a", "e.b").distinct()
+
+    return compare
+
+
 def link(
-    keys: DataFrame,
+    members: DataFrame,
     payload: Callable[[DataFrame], DataFrame],
     similar: Callable[[Column, Column], Column],
     scratch: Scratch,
-    block: int = BLOCK,
-    sketch: DataFrame | None = None,
-    near: Callable[[Column, Column], Column] | None = None,
+    blocks: Callable[[DataFrame], DataFrame] | None = None,
+    native: bool = True,
 ) -> DataFrame:
-    """(key, id) rows to (id, root).
+    """(key, id, n, lo, hi) rows, a written table of `shared_keys`, to (id, root).
 
-    payload(ids) gives one row (id, columns that `similar` reads) for each id of
-    a written table; similar(a, b) compares two structs of those columns. An id
-    has a key once. Payload column `keys`, if there, holds all keys of an id in
-    one order for all: a pair is then compared only at the first key it shares.
-
-    With a sketch (id, sk), near(a, b) on two sketches is part of similarity: it
-    is tested first, and payloads are fetched only for ids of pairs that pass it.
+    payload(ids) gives one row (id, size, columns that `similar` reads) for each
+    id of a written table; similar(a, b) compares two structs of those columns.
+    blocks(met) compares two arrays of such structs, with their labels, a row.
     """
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("n > 1")
-    members = scratch.save(keys.join(sizes, "key"), "members")
-    star = members.filter("id != lo").select(F.col("lo").alias("a"), F.col("id").alias("b"))
-    star = scratch.save(star.unionByName(members.filter("id != lo and id != hi").select(F.col("id").alias("a"), F.col("hi").alias("b"))).distinct(), "star")
-
-    def verified(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The links among (a, b) pairs, and the payloads that were fetched."""
-        if sketch is not None:
-            one, two = sketch.select(F.col("id").alias("a"), F.col("sk").alias("sa")), sketch.select(F.col("id").alias("b"), F.col("sk").alias("sb"))
-            pairs = pairs.join(one, "a").join(two, "b").filter(near(F.col("sa"), F.col("sb"))).select("a", "b")
-        pairs = scratch.save(pairs, "pairs")
-        ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-        loads = scratch.save(payload(ids), "payload")
-        whole = F.struct(*loads.columns)
-        left, right = loads.select(F.col("id").alias("a"), whole.alias("pa")), loads.select(F.col("id").alias("b"), whole.alias("pb"))
-        links = scratch.save(pairs.join(left, "a").join(right, "b").filter(similar(F.col("pa"), F.col("pb"))).select("a", "b"), "links")
-        scratch.drop(pairs, ids)
-        return links, loads
-
-    links, loads = verified(star)
-    roots = components(links, scratch)
+    # the hub of a bucket: the id whose buckets hold most
+    weights = members.groupBy("id").agg(F.sum("n").alias("w"))
+    hubs = members.filter("n > 2").select("key", "id").join(weights, "id").groupBy("key").agg(F.max(F.struct("w", "id")).getField("id").alias("hub"))
+    ends = members.filter("n > 2").join(hubs, "key").select("id", F.explode(F.array_distinct(F.array("lo", "hi", "hub"))).alias("other"))
+    ends = ends.unionByName(members.filter("n = 2 and id = lo").select("id", F.col("hi").alias("other")))
+    star = scratch.save(ends.filter("id != other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "star")
+    ids = scratch.save(members.select("id").distinct(), "ids")
+    loads = scratch.save(payload(ids), "payload")
+    scratch.drop(ids)
+    whole = F.struct(*loads.columns)
+    left, right = loads.select(F.col("id").alias("a"), whole.alias("pa")), loads.select(F.col("id").alias("b"), whole.alias("pb"))
+    links = scratch.save(star.join(left, "a").join(right, "b").filter(similar(F.col("pa"), F.col("pb"))).select("a", "b"), "links")
+    roots = components(links, scratch, native)
 
     labelled = members.filter("n > 2").join(roots, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("label"))
     open_ = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("key")
     left_over = scratch.save(labelled.join(open_, "key", "left_semi"), "open")
     if left_over.isEmpty():
+        scratch.drop(star, loads, links, left_over)
         return roots
-    if sketch is None:
-        left_over = scratch.save(_dense(left_over, components(star, scratch)), "open")
-    held = sketch if sketch is not None else loads
-    columns = held.columns
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    rows = left_over.join(held, "id").select("key", blocks.alias("nb"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), F.struct("label", *columns).alias("p"))
-    rows = scratch.save(rows.groupBy("key", "nb", "block").agg(F.collect_list("p").alias("ps")), "blocks")
+    clusters = components(star, scratch, native)
+    dense = scratch.save(_dense(left_over, clusters), "dense")
+    scratch.drop(star, clusters, left_over)
+    sized = dense.join(loads.select("id", "size"), "id")
+    counts = sized.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    counts = counts.select("key", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / BLOCK_SIZE)).cast("int").alias("nb"))
+    placed = dense.drop("n").join(counts, "key").withColumn("block", F.pmod(F.xxhash64("id"), "nb").cast("int"))
+    rows = placed.join(loads, "id").select("key", "nb", "block", F.struct("label", *loads.columns).alias("p"))
+    rows = rows.groupBy("key", "nb", "block").agg(F.collect_list("p").alias("ps"))
+    rows = scratch.save(rows, "blocks")
     one = rows.select("key", "block", F.explode(F.sequence("block", F.col("nb") - 1)).alias("other"), F.col("ps").alias("pa"))
     two = rows.select("key", F.col("block").alias("other"), F.col("ps").alias("pb"))
-    met = one.join(two, ["key", "other"])
-
-    def comparable(a: Column, b: Column) -> Column:
-        ok = (a["label"] != b["label"]) & ((F.col("block") != F.col("other")) | (a["id"] < b["id"]))
-        if sketch is not None:
-            return ok & near(a["sk"], b["sk"])
-        if "keys" in columns:
-            at = F.array_position(a["keys"], F.col("key")).cast("int")  # 0: the key of a cluster
-            ok = ok & ((at == 0) | ~F.arrays_overlap(F.slice(a["keys"], F.lit(1), F.greatest(at - 1, F.lit(0))), F.slice(b["keys"], F.lit(1), F.greatest(at - 1, F.lit(0)))))
-        return ok & similar(a, b)
-
-    name = "id" if sketch is not None else "label"
-    found = F.transform("pa", lambda a: F.transform(F.filter("pb", lambda b: comparable(a, b)), lambda b: F.struct(a[name].alias("a"), b[name].alias("b"))))
-    more = met.select(F.explode(F.array_distinct(F.flatten(found))).alias("e")).select("e.a", "e.b").distinct()
-    more = verified(more)[0] if sketch is not None else scratch.save(more, "more")
-    return components(links.unionByName(more), scratch)
+    met = one.join(two, ["key", "other"]).select((F.col("block") == F.col("other")).alias("same"), "pa", "pb")
+    more = scratch.save((blocks or native_blocks(similar, loads.columns))(met), "more")
+    scratch.drop(rows, loads, dense)
+    out = components(links.unionByName(more), scratch, native)
+    scratch.drop(links, more, roots)
+    return out

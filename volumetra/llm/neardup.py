@@ -26,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from volumetra.llm.common import BROADCAST_ROWS, Scratch, batches, gram_hashes, mix, ship, word_hashes, word_lists
-from volumetra.llm.linkage import link
+from volumetra.llm.common import Scratch, batches, gram_hashes, mix, only, salted_join, ship, word_hashes, word_lists
+from volumetra.llm.linkage import link, shared_keys
 
 CHUNKS, PER_CHUNK = 10, 3
 SLOTS = CHUNKS * PER_CHUNK
+COLUMNS = 4096
 REACH = 2 * CHUNKS - 1
 _RNG = np.random.default_rng(20240229)
 MULTIPLY = _RNG.integers(0, 2**64, SLOTS, np.uint64) | np.uint64(1)
@@ -116,30 +117,90 @@ def similar(percent: int):
     return test
 
 
+def shared_counts(a: pa.ListArray, b: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n x m) sizes of the intersections of two lists of sets, and the sets' sizes.
+
+    A shingle that both sides hold is a column of two 0/1 matrices; COLUMNS of them are multiplied at a time.
+    """
+    sides = []
+    for x in (a, b):
+        at = np.asarray(x.offsets, np.int64)
+        sides.append((np.diff(at), np.asarray(x.values)[at[0] : at[-1]]))
+    (na, fa), (nb, fb) = sides
+    both = np.intersect1d(fa, fb)
+    out = np.zeros((len(na), len(nb)), np.float32)
+    entries = []
+    for n, f in sides:
+        at = np.minimum(np.searchsorted(both, f), max(len(both) - 1, 0))
+        ok = both[at] == f if len(both) else np.zeros(len(f), bool)
+        column, row = at[ok], np.repeat(np.arange(len(n)), n)[ok]
+        order = np.argsort(column, kind="stable")
+        entries.append((column[order], row[order], len(n)))
+    for lo in range(0, len(both), COLUMNS):
+        parts = []
+        for column, row, n in entries:
+            i, j = np.searchsorted(column, (lo, lo + COLUMNS))
+            part = np.zeros((n, min(COLUMNS, len(both) - lo)), np.float32)
+            part[row[i:j], column[i:j] - lo] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out.astype(np.int64), na, nb
+
+
+def set_blocks(percent: int):
+    """Compares the blocks of each row (linkage.link) by matrix products of their sets."""
+
+    def run(frames):
+        for batch in frames:
+            found = []
+            sides = [batch.column(c) for c in ("pa", "pb")]
+            for i in range(batch.num_rows):
+                (la, sa), (lb, sb) = [(np.asarray(x.field("label")), x.field("set")) for x in (side.slice(i, 1).flatten() for side in sides)]
+                shared, na, nb = shared_counts(sa, sb)
+                hit = ((100 + percent) * shared >= percent * (na[:, None] + nb)) & (la[:, None] != lb)
+                x, y = np.nonzero(hit)
+                if len(x):
+                    found.append(np.unique(np.stack([np.minimum(la[x], lb[y]), np.maximum(la[x], lb[y])], axis=1), axis=0))
+            if found:
+                a, b = np.unique(np.concatenate(found), axis=0).T
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def compare(met: DataFrame) -> DataFrame:
+        ship(met.sparkSession)
+        sides = [F.transform(c, lambda x: F.struct(x["label"].alias("label"), x["set"].alias("set"))).alias(c) for c in ("pa", "pb")]
+        return met.select(*sides).mapInArrow(run, "a long, b long").distinct()
+
+    return compare
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
+    return judged(docs, shingle, percent).drop("class")
+
+
+def judged(docs: DataFrame, shingle: int = 4, percent: int = 80) -> DataFrame:
+    """The rows of near_duplicates with their class, null without words: rows of one class have equal sets."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "neardup")
     rows = scratch.save(features(docs, shingle), "features")
     classes = rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("lowest"), F.first("keys").alias("keys"), F.count("*").alias("n"))
     classes = scratch.save(classes, "classes")
-    keys = classes.select(F.explode("keys").alias("key"), F.col("class").alias("id"))
+    members = scratch.save(shared_keys(classes.select(F.explode("keys").alias("key"), F.col("class").alias("id"))), "members")
 
     def payload(ids: DataFrame) -> DataFrame:
-        wanted = classes.join(ids.withColumnRenamed("id", "class"), "class", "left_semi").select("class", "lowest", "keys")
-        wanted = scratch.save(wanted, "wanted")
+        wanted = scratch.save(classes.join(ids.withColumnRenamed("id", "class"), "class", "left_semi").select("class", "lowest"), "wanted")
         some = wanted.select(F.col("lowest").alias("doc_id")).filter("doc_id is not null").distinct()
-        some = F.broadcast(some) if wanted.count() <= BROADCAST_ROWS else some
         texts = docs.select("doc_id", "text")
-        found = texts.join(some, "doc_id", "left_semi").unionByName(texts.filter("doc_id is null"))
+        found = only(texts, some, "doc_id", wanted.count()).unionByName(texts.filter("doc_id is null"))
         sets = full_sets(found, shingle).dropDuplicates(["class"])
-        return wanted.join(sets, "class").select(F.col("class").alias("id"), "keys", "set")
+        return wanted.join(sets, "class").select(F.col("class").alias("id"), F.size("set").alias("size"), "set")
 
-    roots = link(keys, payload, similar(percent), scratch)
+    roots = link(members, payload, similar(percent), scratch, set_blocks(percent), native=False)
     joined = classes.join(roots.withColumnRenamed("id", "class"), "class", "left").select("class", "lowest", "n", F.coalesce("root", "class").alias("root"))
     low = joined.groupBy("root").agg(F.min("lowest").alias("component"), F.count("*").alias("classes"), F.sum("n").alias("rows")).filter("rows > 1")
-    of = joined.join(low, "root").select(F.col("class").alias("c_class"), "component")
-    of = scratch.save(of, "components")
-    out = rows.drop("keys").join(of, rows["class"] == of["c_class"], "left")
-    component = F.when(F.col("c_class").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    of = scratch.save(joined.join(low, "root").select("class", "component", F.lit(True).alias("grouped"), "n"), "components")
+    scratch.drop(members, classes)
+    narrow = rows.drop("keys")
+    out = salted_join(narrow, of, "class", "doc_id", narrow.count(), "left")
+    component = F.when(F.col("grouped"), F.col("component")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), "class").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
