@@ -112,7 +112,7 @@ def test_fuzzy_lines(spark):
     rows = [(1, f"{base}\nshort line"), (2, f"other words entirely stand in this line\n{base.upper()}!"), (3, f"{near}\nshort line"), (4, "nothing of that kind is in this text at all")]
     out = by_id(lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")))
     assert out[1]["text"] == rows[0][1] and out[2]["text"] == "other words entirely stand in this line" and out[4]["n_removed"] == 0
-    assert out[2]["n_removed"] == 1
+    assert out[2]["n_removed"] == 1 and out[3]["n_removed"] == 2 and out[3]["text"] == ""
 
 
 def edit_distance(a, b):
@@ -125,6 +125,29 @@ def edit_distance(a, b):
     return row[-1]
 
 
+def bit_distance(a, b):
+    """Edit distance by columns of bits (the usual recurrence; whole columns at once)."""
+    places, ones = {}, (1 << len(a)) - 1
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    up, down, n, top = ones, 0, len(a), 1 << (len(a) - 1)
+    for c in b:
+        eq = places.get(c, 0)
+        x = (((eq & up) + up) ^ up) | eq | down
+        plus, minus = down | (~(x | up) & ones), up & x
+        n += bool(plus & top) - bool(minus & top)
+        plus, minus = (plus << 1 | 1) & ones, (minus << 1) & ones
+        up, down = minus | (~((eq | down) | plus) & ones), plus & (eq | down)
+    return n
+
+
+def test_bit_distance():
+    rng = random.Random(23)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(1, 12))) for _ in range(2))
+        assert bit_distance(a, b) == edit_distance(a, b)
+
+
 def test_near_lines_are_candidates(spark):
     """Pairs at 0.8 edit similarity or more, by brute force, share a key; three bits of a SimHash passed few of them."""
     rng = random.Random(11)
@@ -142,13 +165,57 @@ def test_near_lines_are_candidates(spark):
             pairs.append((x, y))
     df = spark.createDataFrame([(2 * i + k, p[k]) for i, p in enumerate(pairs) for k in (0, 1)], "id long, norm string")
     keys = {}
-    for r in lines.band_keys(df, range(lines.BANDS)).collect():
+    for r in lines.line_keys(df.withColumn("sketch", lines.sketch(df["norm"]))).collect():
         keys.setdefault(r["id"], set()).add(r["key"])
     found = sum(bool(keys[2 * i] & keys[2 * i + 1]) for i in range(len(pairs)))
     assert found >= 0.97 * len(pairs), found
     assert not any(keys[2 * i] & keys[2 * i + 2] for i in range(len(pairs) - 1))
 
 
+def test_keys_of_a_turn(spark):
+    df = spark.createDataFrame([(1, "one two three four five six seven eight"), (2, "ab cd efg hi jk"), (3, "日本語の文章はここにあります"), (4, "abcdefghi")], "id long, norm string")
+    df = df.withColumn("sketch", lines.sketch(df["norm"]))
+    rows = lambda x: sorted(map(tuple, x.collect()))
+    every = rows(lines.line_keys(df))
+    assert every == sorted(rows(lines.line_keys(df, 0, 2)) + rows(lines.line_keys(df, 1, 2))) and len({i for _, i in every}) == 4
+    assert sum(i == 1 for _, i in every) == 20
+
+
+def test_lines_by_brute_force(spark):
+    """Every line of the smallest tables: what goes is all but the first of each group of lines that are alike."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    seen = {}
+    for r in lines.line_texts(docs).collect():
+        seen.setdefault(r["norm"], []).append((r["doc_id"], r["at"]))
+    norms = sorted(seen, key=len)
+    root = {n: n for n in norms}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    bags = [np.bincount(np.frombuffer(n.encode("utf-32-le"), np.uint32) % 97, minlength=97) for n in norms]
+    for j, y in enumerate(norms):
+        allowed = len(y) // 5
+        for i in range(j - 1, -1, -1):
+            x = norms[i]
+            if len(y) - len(x) > allowed or len(x) < lines.MIN_CHARS:
+                break
+            if np.abs(bags[i] - bags[j]).sum() <= 2 * allowed and find(x) != find(y) and bit_distance(x, y) <= allowed:
+                root[find(y)] = find(x)
+    groups = {}
+    for n in norms:
+        groups.setdefault(find(n), []).extend(seen[n])
+    want = {}
+    for places in groups.values():
+        for d, at in sorted(places)[1:]:
+            want.setdefault(d, []).append(at)
+    got = by_id(lines.dedup_lines(docs))
+    wrong = [d for d, r in got.items() if r["n_removed"] != len(want.get(d, ()))]
+    assert not wrong and len(got) == docs.count() and sum(map(len, want.values())) > 100
+
+
 def test_near_lines_are_removed(spark):
     rng = random.Random(12)
     base = " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(20))
@@ -171,18 +238,6 @@ def test_short_lines(spark):
     assert out[1]["text"] == rows[0][1] and out[2]["text"] == "2\n---\n" and out[2]["n_removed"] == 3
 
 
-def test_simhash_is_a_majority(spark):
-    rng = random.Random(1)
-    words = [[f"w{rng.randrange(50)}" for _ in range(n)] for n in (1, 5, 64, 511)]
-    df = spark.createDataFrame([(i, w) for i, ws in enumerate(words) for w in ws], "k int, w string").selectExpr("k", "xxhash64(w) as h")
-    hashes = {}
-    for r in df.collect():
-        hashes.setdefault(r["k"], []).append(r["h"])
-    for r in lines.majority(df, ["k"]).collect():
-        hs = hashes[r["k"]]
-        assert r["sim"] == sum(1 << b for b in range(63) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
-
-
 # --- 3 ----------------------------------------------------------------------
 
 

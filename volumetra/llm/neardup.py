@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from volumetra.llm.common import Scratch, batches, gram_hashes, mix, only, salted_join, ship, word_hashes, word_lists
+from volumetra.llm.common import Scratch, batches, gram_hashes, mix, only, salted_join, ship, whole_text, word_hashes, word_lists
 from volumetra.llm.linkage import link, shared_keys
 
 CHUNKS, PER_CHUNK = 10, 3
@@ -75,7 +75,7 @@ def signature_keys(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def features(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, class, keys (null for an empty set)."""
+    """doc_id, text_key, n_shingles, class, keys (null for an empty set)."""
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -88,11 +88,11 @@ def features(docs: DataFrame, k: int) -> DataFrame:
                 for i, row in zip(full, signature_keys([sets[i] for i in full]).view(np.int64)):
                     keys[i] = row
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "class", "keys"],
+                [batch.column("doc_id"), batch.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "text_key", "n_shingles", "class", "keys"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, class long, keys array<long>")
+    return docs.select("doc_id", "text", F.xxhash64(whole_text()).alias("text_key")).mapInArrow(run, f"doc_id {kind}, text_key long, n_shingles long, class long, keys array<long>")
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -175,11 +175,11 @@ def set_blocks(percent: int):
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
-    return judged(docs, shingle, percent).drop("class")
+    return judged(docs, shingle, percent).drop("text_key")
 
 
 def judged(docs: DataFrame, shingle: int = 4, percent: int = 80) -> DataFrame:
-    """The rows of near_duplicates with their class, null without words: rows of one class have equal sets."""
+    """The rows of near_duplicates with text_key, the hash of their text: with doc_id it tells rows apart."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "neardup")
     rows = scratch.save(features(docs, shingle), "features")
@@ -203,4 +203,4 @@ def judged(docs: DataFrame, shingle: int = 4, percent: int = 80) -> DataFrame:
     narrow = rows.drop("keys")
     out = salted_join(narrow, of, "class", "doc_id", narrow.count(), "left")
     component = F.when(F.col("grouped"), F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), "class").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
