@@ -12,9 +12,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volumetra.llm.common import BROADCAST_ROWS, Scratch, documents
+from volumetra.llm.common import BROADCAST_ROWS, Scratch, documents, whole_text
 from volumetra.llm.lines import dedup_lines
-from volumetra.llm.neardup import near_duplicates
+from volumetra.llm.neardup import judged
 from volumetra.llm.packing import pack_documents
 from volumetra.llm.pii import sanitise
 from volumetra.llm.quality import quality
@@ -27,31 +27,39 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass, without the lines that fail."""
+    """Documents that pass, without the lines that fail. Null and empty texts fail."""
     return _columns(quality(docs).filter("kept").withColumn("text", F.col("clean_text")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that an earlier document or line has."""
-    return _columns(dedup_lines(docs))
+    """Documents without the lines that an earlier document or line has; one that is left without a word goes.
+
+    A null doc_id sorts first; repeated rows are treated alike.
+    """
+    return _columns(dedup_lines(docs).filter(F.col("n_removed").eqNullSafe(0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8); rows without doc_id stay."""
-    gone = near_duplicates(docs, shingle=5, percent=80).filter("not kept and doc_id is not null").select("doc_id").distinct()
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8).
+
+    A row is known by doc_id and text: of two rows with one doc_id, one may go and the other stay. A row without doc_id
+    goes where its group has one; a group without any stays whole. Texts without words stay.
+    """
+    gone = judged(docs, shingle=5, percent=80).filter("not kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
     gone = Scratch(spark, "gone").save(gone, "gone")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    same = docs.doc_id.eqNullSafe(F.col("_id")) & (F.xxhash64(whole_text()) == F.col("_key"))
+    return docs.join(gone, same, "left_anti").select(*COLUMNS)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data and disclosing terms replaced."""
+    """All documents, personal data and disclosing terms replaced. Null doc_ids and repeated rows are treated alike."""
     return _columns(sanitise(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 1024 tokens and their places in sequences."""
+    """Pieces of at most 1024 tokens and their places in sequences; every row has one at least, a null text too."""
     path = public_tokenizers.path
     return pack_documents(docs.select("doc_id", "text"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"))
 
