@@ -140,12 +140,16 @@ def link(
     scratch: Scratch,
     blocks: Callable[[DataFrame], DataFrame] | None = None,
     native: bool = True,
+    first: Callable[[Column, Column], Column] | None = None,
+    then: Callable[[Column, Column], Column] | None = None,
 ) -> DataFrame:
     """(key, id, n, lo, hi) rows, a written table of `shared_keys`, to (id, root).
 
     payload(ids) gives one row (id, size, columns that `similar` reads) for each
     id of a written table; similar(a, b) compares two structs of those columns.
     blocks(met) compares two arrays of such structs, with their labels, a row.
+    Where similar is dear, first(a, b) may tell pairs cheaply, null where it does
+    not; then(a, b) is asked for those that the links so told do not join.
     """
     # the hub of a bucket: the id whose buckets hold most
     weights = members.groupBy("id").agg(F.sum("n").alias("w"))
@@ -156,16 +160,31 @@ def link(
     ids = scratch.save(members.select("id").distinct(), "ids")
     loads = scratch.save(payload(ids), "payload")
     scratch.drop(ids)
-    whole = F.struct(*loads.columns)
-    left, right = loads.select(F.col("id").alias("a"), whole.alias("pa")), loads.select(F.col("id").alias("b"), whole.alias("pb"))
-    links = scratch.save(star.join(left, "a").join(right, "b").filter(similar(F.col("pa"), F.col("pb"))).select("a", "b"), "links")
+
+    def both(pairs: DataFrame) -> DataFrame:
+        whole = F.struct(*loads.columns)
+        return pairs.join(loads.select(F.col("id").alias("a"), whole.alias("pa")), "a").join(loads.select(F.col("id").alias("b"), whole.alias("pb")), "b")
+
+    told = scratch.save(both(star).select("a", "b", (first or similar)(F.col("pa"), F.col("pb")).alias("linked")).filter("linked or linked is null"), "told")
+    links = told.filter("linked").select("a", "b")
     roots = components(links, scratch, native)
+    if then is not None:
+        label = roots.withColumnRenamed("root", "l")
+        open_ = told.filter("linked is null").select("a", "b")
+        for end in ("a", "b"):
+            open_ = open_.join(label.select(F.col("id").alias(end), F.col("l").alias(f"l{end}")), end, "left")
+        open_ = open_.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+        later = scratch.save(both(open_).filter(then(F.col("pa"), F.col("pb"))).select("a", "b"), "later")
+        before = roots
+        roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(later), scratch, native)
+        scratch.drop(before, later)
+    scratch.drop(told)
 
     labelled = members.filter("n > 2").join(roots, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("label"))
     open_ = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("key")
     left_over = scratch.save(labelled.join(open_, "key", "left_semi"), "open")
     if left_over.isEmpty():
-        scratch.drop(star, loads, links, left_over)
+        scratch.drop(star, loads, left_over)
         return roots
     clusters = components(star, scratch, native)
     dense = scratch.save(_dense(left_over, clusters), "dense")
@@ -182,6 +201,6 @@ def link(
     met = one.join(two, ["key", "other"]).select((F.col("block") == F.col("other")).alias("same"), "pa", "pb")
     more = scratch.save((blocks or native_blocks(similar, loads.columns))(met), "more")
     scratch.drop(rows, loads, dense)
-    out = components(links.unionByName(more), scratch, native)
-    scratch.drop(links, more, roots)
+    out = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more), scratch, native)
+    scratch.drop(more, roots)
     return out
