@@ -167,16 +167,19 @@ def p_value(null, real: float, kind: str = "greater") -> float:
 
 
 def overfitting(M: np.ndarray, blocks: int = 16, metric: str = "sharpe") -> dict:
-    """Combinatorially symmetric validation: where the best of one half of the blocks stands in the other.
-
-    Blocks are summed up once; every choice of halves adds up block sums.
-    """
+    """Combinatorially symmetric validation: where the best of one half of the blocks stands in the other."""
     T, N = M.shape
     if N < 2 or blocks < 4 or blocks % 2 or T < blocks:
         raise ValueError("at least two configurations, four blocks (even), and a period for each block")
     parts = np.array_split(np.arange(T), blocks)
     n = np.array([len(p) for p in parts], float)
     s, q = (np.stack([f(M[p]) for p in parts]) for f in (lambda x: x.sum(axis=0), lambda x: (x * x).sum(axis=0)))
+    return overfitting_of(n, s, q, metric)
+
+
+def overfitting_of(n: np.ndarray, s: np.ndarray, q: np.ndarray, metric: str = "sharpe") -> dict:
+    """The same from n, sums and sums of squares (blocks x configurations): every choice of halves adds up block sums."""
+    blocks, N = s.shape
 
     def stat(rows):
         k, a, b = n[rows].sum(), s[rows].sum(axis=0), q[rows].sum(axis=0)

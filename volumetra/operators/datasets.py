@@ -32,7 +32,7 @@ def sample_id(df: DataFrame) -> DataFrame:
 
 def confluence(bars: DataFrame, lookback: int = 120, horizon: int = 20, stride: int = 1) -> DataFrame:
     """The four components; the baseline is the hand-weighted bias."""
-    s = _signed(walk.scores(walk.windows(bars, lookback, stride, horizon)))
+    s = _signed(walk.scores(walk.chunks(bars, lookback, stride, horizon)))
     y = labelled(bars, horizon).select("symbol", "idx", "y")
     return sample_id(s.join(y, ["symbol", "idx"]).select("symbol", "ts", "idx", *CONFLUENCE, "y", F.col("bias_score").alias("baseline")))
 
@@ -43,7 +43,7 @@ def with_atr(bars: DataFrame, period: int = 14) -> DataFrame:
 
 def enriched(bars: DataFrame, lookback: int = 120, horizon: int = 20, stride: int = 3) -> DataFrame:
     """Components, momentum, volatility, volume trend, distance to the point of control."""
-    s = _signed(walk.scores(walk.windows(bars, lookback, stride, horizon)))
+    s = _signed(walk.scores(walk.chunks(bars, lookback, stride, horizon)))
     stages = [{"_r": R.RET}, {"mom_20": f"close / {R.lag('close', 20)} - 1", "mom_60": f"close / {R.lag('close', 60)} - 1", "mom_120_20": f"{R.lag('close', 20)} / {R.lag('close', 120)} - 1", "vol_20": R.std("_r", 20), "vol_trend": f"{R.mean('volume', 10)} / {R.mean('volume', 60)} - 1"}]
     f = R.apply(labelled(with_atr(bars), horizon), stages).withColumn("atr_frac", F.col("atr") / F.col("close"))
     j = s.join(f.select("symbol", "idx", "y", "close", "atr", "mom_20", "mom_60", "mom_120_20", "vol_20", "atr_frac", "vol_trend"), ["symbol", "idx"])
@@ -81,8 +81,7 @@ def structural(bars: DataFrame, lookback: int = 120, horizon: int = 20, stride:
 
 
 def structural_rows(bars: DataFrame, lookback: int, horizon: int, stride: int) -> DataFrame:
-    wins = walk.windows(bars, lookback, stride, horizon).join(with_atr(bars).select("symbol", "ts", "atr"), ["symbol", "ts"])
-    return walk.structural_walk(wins)
+    return walk.structural_walk(walk.chunks(with_atr(bars), lookback, stride, horizon, ("atr",)))
 
 
 def _barriers(bars: DataFrame, samples: DataFrame, horizon: int, profit: float, stop: float) -> DataFrame:
@@ -99,7 +98,7 @@ def structural_meta(bars: DataFrame, lookback: int = 120, horizon: int = 20, str
 
 def meta(bars: DataFrame, lookback: int = 120, horizon: int = 20, stride: int = 3, least_bias: float = 10.0, profit: float = 2.0, stop: float = 2.0) -> DataFrame:
     """Bars where the score leans, the side it leans to, and whether that bet won."""
-    s = _signed(walk.scores(walk.windows(bars, lookback, stride, horizon))).filter(F.abs("bias_score") >= least_bias)
+    s = _signed(walk.scores(walk.chunks(bars, lookback, stride, horizon))).filter(F.abs("bias_score") >= least_bias)
     s = s.select("symbol", "ts", "idx", *CONFLUENCE, (F.col("setup_quality") / 100).alias("setup_quality"), (F.abs("bias_score") / 100).alias("bias_mag"), F.when(F.col("bias_score") > 0, 1).otherwise(-1).alias("side"))
     return _barriers(bars, s, horizon, profit, stop)
 

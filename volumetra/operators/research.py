@@ -89,9 +89,13 @@ def book(data: DataFrame, features, purge: int, alpha: float = 1.0, n_buckets: i
     return data.groupBy("symbol").applyInPandas(run, BOOK)
 
 
-def replicates(data: DataFrame, n: int) -> DataFrame:
-    """A copy of the dataset for each replicate; replicate -1 is the real one."""
-    r = data.sparkSession.range(-1, n).select(F.col("id").cast("int").alias("replicate"))
+#: Replicates that one task runs over one copy of a symbol's rows.
+SPAN = 25
+
+
+def spans(data: DataFrame, n: int) -> DataFrame:
+    """data once for every SPAN of the replicates -1 (the real one) to n - 1; span is the first of them."""
+    r = data.sparkSession.range(-1, n, SPAN).select(F.col("id").cast("int").alias("span"))
     return data.crossJoin(F.broadcast(r))
 
 
@@ -99,17 +103,19 @@ def permuted_ic(data: DataFrame, features, purge: int, n: int, seed: int = 0, al
     """(replicate, symbol, ic, n): mean and number of fold ICs with targets shuffled by row or by block. The seed is the replicate's and the symbol's."""
 
     def run(key, pdf):
-        replicate, symbol = key
-        X, y, b = _arrays(pdf, features)
-        if len(y) < 6:
-            return pd.DataFrame([], columns=["replicate", "symbol", "ic", "n"])
-        if replicate >= 0:
-            rng = np.random.default_rng([seed, replicate, *str(symbol).encode()])
-            y = y[learn.block_order(len(y), block or 1, rng)]
-        ics = [round(r["ic"], 4) for r in learn.factor_eval(X, y, b, _cv(len(y), purge), alpha)]
-        return pd.DataFrame([(replicate, symbol, float(np.mean(ics)) if ics else None, len(ics))], columns=["replicate", "symbol", "ic", "n"])
+        first, symbol = key
+        X, real, b = _arrays(pdf, features)
+        out = []
+        cv = _cv(len(real), purge) if len(real) >= 6 else []
+        for replicate in range(first, min(first + SPAN, n)) if cv else ():
+            y = real
+            if replicate >= 0:
+                y = real[learn.block_order(len(real), block or 1, np.random.default_rng([seed, replicate, *str(symbol).encode()]))]
+            ics = [round(r["ic"], 4) for r in learn.factor_eval(X, y, b, cv, alpha)]
+            out.append((replicate, symbol, float(np.mean(ics)) if ics else None, len(ics)))
+        return pd.DataFrame(out, columns=["replicate", "symbol", "ic", "n"])
 
-    return replicates(data, n).groupBy("replicate", "symbol").applyInPandas(run, "replicate int, symbol string, ic double, n int")
+    return spans(data, n).groupBy("span", "symbol").applyInPandas(run, "replicate int, symbol string, ic double, n int")
 
 
 def pooled_p(ics: DataFrame) -> DataFrame:
@@ -145,19 +151,19 @@ def permuted_meta(data: DataFrame, features, purge: int, n: int, seed: int = 0,
     """M8: (replicate, symbol, auc, lift) with labels and returns shuffled together against the features."""
 
     def run(key, pdf):
-        replicate, symbol = key
+        first, symbol = key
         pdf = pdf.sort_values("sample_id")
-        X, y, r = pdf[list(features)].to_numpy(float), pdf["win"].to_numpy(int), pdf["ret"].to_numpy(float)
-        if len(y) < 6:
-            return pd.DataFrame([], columns=["replicate", "symbol", "auc", "lift"])
-        if replicate >= 0:
-            p = np.random.default_rng([seed, replicate, *str(symbol).encode()]).permutation(len(y))
-            y, r = y[p], r[p]
-        rows = learn.meta_eval(X, y, r, _cv(len(y), purge), threshold)
-        lift = float(np.mean([x["meta"] - x["primary"] for x in rows])) if rows else None
-        return pd.DataFrame([(replicate, symbol, learn.mean_of(rows, "auc") if rows else None, lift)], columns=["replicate", "symbol", "auc", "lift"])
+        X, wins, rets = pdf[list(features)].to_numpy(float), pdf["win"].to_numpy(int), pdf["ret"].to_numpy(float)
+        out = []
+        cv = _cv(len(wins), purge) if len(wins) >= 6 else []
+        for replicate in range(first, min(first + SPAN, n)) if cv else ():
+            p = np.random.default_rng([seed, replicate, *str(symbol).encode()]).permutation(len(wins)) if replicate >= 0 else np.arange(len(wins))
+            rows = learn.meta_eval(X, wins[p], rets[p], cv, threshold)
+            lift = float(np.mean([x["meta"] - x["primary"] for x in rows])) if rows else None
+            out.append((replicate, symbol, learn.mean_of(rows, "auc") if rows else None, lift))
+        return pd.DataFrame(out, columns=["replicate", "symbol", "auc", "lift"])
 
-    return replicates(data, n).groupBy("replicate", "symbol").applyInPandas(run, "replicate int, symbol string, auc double, lift double")
+    return spans(data, n).groupBy("span", "symbol").applyInPandas(run, "replicate int, symbol string, auc double, lift double")
 
 
 def p_by_symbol(null: DataFrame, columns: list[str]) -> DataFrame:
@@ -175,30 +181,32 @@ PANEL_OUT = "replicate int, split_id int, date_id int, ic double"
 def panel_evaluation(panel: DataFrame, features=("mom_21", "mom_252_21", "vol_60", "vol_trend"), purge: int = 4, n: int = 0, seed: int = 0, alpha: float = 1.0) -> DataFrame:
     """V7, M9: rank IC of each test date, for the real panel (replicate -1) and n copies with returns shuffled within dates.
 
-    A task holds one replicate of the panel: rebalancing dates by names, a bounded table.
+    A task holds the panel once for a span of replicates: rebalancing dates by names, a bounded table.
     """
 
     def run(key, pdf):
         pdf = pdf.sort_values(["date_id", "symbol"])
-        X, y, d = pdf[list(features)].to_numpy(float), pdf["y"].to_numpy(float).copy(), pdf["date_id"].to_numpy(int)
+        X, real, d = pdf[list(features)].to_numpy(float), pdf["y"].to_numpy(float), pdf["date_id"].to_numpy(int)
         rows = {k: np.flatnonzero(d == k) for k in np.unique(d)}
-        if key[0] >= 0:
-            rng = np.random.default_rng([seed, key[0]])
-            for g in rows.values():
-                y[g] = y[g][rng.permutation(len(g))]
+        cv = [(np.flatnonzero(np.isin(d, tr)), te) for tr, te in (_cv(len(rows), purge) if len(rows) >= 6 else ())]
         out = []
-        for i, (tr, te) in enumerate(_cv(len(rows), purge)):
-            r = np.flatnonzero(np.isin(d, tr))
-            if len(r) < max(20, X.shape[1] + 2):
-                continue
-            m = learn.Ridge(alpha).fit(X[r], y[r])
-            for k in te:
-                ic = learn.spearman(m.signal(X[rows[k]]), y[rows[k]]) if len(rows[k]) >= 3 else math.nan
-                if math.isfinite(ic):
-                    out.append((key[0], i, int(k), ic))
+        for replicate in range(key[0], min(key[0] + SPAN, n)):
+            y = real.copy()
+            if replicate >= 0:
+                rng = np.random.default_rng([seed, replicate])
+                for g in rows.values():
+                    y[g] = y[g][rng.permutation(len(g))]
+            for i, (r, te) in enumerate(cv):
+                if len(r) < max(20, X.shape[1] + 2):
+                    continue
+                m = learn.Ridge(alpha).fit(X[r], y[r])
+                for k in te:
+                    ic = learn.spearman(m.signal(X[rows[k]]), y[rows[k]]) if len(rows[k]) >= 3 else math.nan
+                    if math.isfinite(ic):
+                        out.append((replicate, i, int(k), ic))
         return pd.DataFrame(out, columns=["replicate", "split_id", "date_id", "ic"])
 
-    return replicates(panel, n).groupBy("replicate").applyInPandas(run, PANEL_OUT)
+    return spans(panel, n).groupBy("span").applyInPandas(run, PANEL_OUT)
 
 
 def regimes(data: DataFrame, features, k: int = 3, first: int = 200, every: int = 60, seed: int = 0) -> DataFrame:
@@ -394,28 +402,60 @@ def narrate(e: DataFrame) -> DataFrame:
     return e.withColumn("narration", F.concat_ws("\n", F.concat(F.lit("Signal: "), "name"), F.concat(F.lit("Verdict: "), head), F.concat(F.lit("Evidence: "), line, F.lit(".")), closing))
 
 
-def honest_report(data: DataFrame, features, horizon: int, stride: int, perms: int = 50, n_trials: int = 1, seed: int = 0, sweep: list[tuple[float, float, float]] | None = None) -> DataFrame:
-    """Pooled IC, block-permutation p, bucket curve, deflated Sharpe, overfitting, verdict, in one row.
+REPORT = "n_datasets long, n_samples long, oos_ic double, p_value double, bucket_curve array<double>, ls_net double, dsr double, n_trials int, pbo double, inverts boolean"
+
+
+def pooled_streams(rows: DataFrame, size: int, most: int = 10) -> DataFrame:
+    """One row: how many bets, their mean, deviation, skew and kurtosis, and n, sum and sum of squares by symbol and block.
 
-    sweep: (fraction, pooled IC, long/short net) rungs of the injection sweep, if one was run.
+    Streams of bets stay where they are: only aggregates of them meet. Blocks are those of the shortest stream (`array_split`
+    of its length), an even number of them, 4 to `most`.
+    """
+    bets = rows.select("symbol", F.posexplode("stream").alias("at", "x"))
+    moments = bets.agg(F.count("*").alias("bets"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.skewness("x").alias("skew"), F.kurtosis("x").alias("excess"))
+    shortest = rows.agg(F.min(F.size("stream")).alias("t"), F.count("*").alias("names"))
+    k = F.greatest(F.lit(4), F.least(F.lit(most), F.floor(F.col("t") / 2) * 2)).cast("int")
+    shortest = shortest.withColumn("k", k).withColumn("q", F.floor(F.col("t") / F.col("k"))).withColumn("more", F.col("t") % F.col("k"))
+    edge = F.col("more") * (F.col("q") + 1)
+    block = F.when(F.col("at") < edge, F.floor(F.col("at") / (F.col("q") + 1))).otherwise(F.col("more") + F.floor((F.col("at") - edge) / F.greatest(F.col("q"), F.lit(1))))
+    cut = bets.crossJoin(F.broadcast(shortest)).filter("names >= 2 and t >= 8 and at < t").withColumn("block", block.cast("int"))
+    sums = cut.groupBy("symbol", "block").agg(F.count("*").cast("double").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
+    return moments.crossJoin(sums.agg(F.array_sort(F.collect_list(F.struct("symbol", "block", "n", "s", "q"))).alias("blocks")))
+
+
+def honest_report(data: DataFrame, features, horizon: int, stride: int, perms: int = 50, n_trials: int = 1, seed: int = 0, sweep: DataFrame | None = None) -> DataFrame:
+    """Pooled IC, block-permutation p, bucket curve, deflated Sharpe, overfitting, verdict, in one row and one plan.
+
+    sweep: (fraction, ls_net) rungs of the injection sweep, if one was run.
     """
-    spark = data.sparkSession
     purge = purge_of(horizon, stride)
     size = learn.block_size(horizon, stride)
-    ic = permuted_ic(data, features, purge, perms, seed, block=size)
-    p = pooled_p(ic).first()
-    rows = book(data, features, purge).collect()  # one row a symbol: bounded by the names under test
-    counts = data.groupBy("symbol").count().collect()
-    streams = [np.array(r["stream"]) for r in sorted(rows, key=lambda r: r["symbol"])]
-    pooled = np.concatenate(streams) if streams else np.zeros(0)
-    deflated = overfit = None
-    if len(pooled) >= 8 and pooled.std() > 0:
-        z = (pooled - pooled.mean()) / pooled.std()
-        deflated = dsr(float(pooled.mean() / pooled.std(ddof=1)), max(8, len(pooled) // size), float((z**3).mean()), float((z**4).mean()), n_trials)
-    if len(streams) >= 2 and (t := min(map(len, streams))) >= 8:
-        overfit = learn.overfitting(np.stack([s[:t] for s in streams], axis=1), max(4, min(10, t // 2 * 2)), "mean")["pbo"]
-    inverts = bool(sweep[0][2] > 0 > sweep[-1][2]) if sweep and len(sweep) > 1 else None
-    curve = [float(x) for x in np.mean([r["curve"] for r in rows], axis=0)] if rows else []
-    net = float(np.mean([r["ls_net"] for r in rows])) if rows else None
-    one = spark.createDataFrame([(len(counts), sum(r["count"] for r in counts), p["real_ic"], p["p_value"], curve, net, deflated, n_trials, overfit, inverts)], "n_datasets int, n_samples long, oos_ic double, p_value double, bucket_curve array<double>, ls_net double, dsr double, n_trials int, pbo double, inverts boolean")
+    p = pooled_p(permuted_ic(data, features, purge, perms, seed, block=size)).select("real_ic", "p_value")
+    rows = book(data, features, purge)
+    counts = data.agg(F.countDistinct("symbol").alias("n_datasets"), F.count("*").alias("n_samples"))
+    places = rows.select(F.posexplode("curve").alias("at", "x")).groupBy("at").agg(F.avg("x").alias("x"))
+    curve = places.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda x: x["x"]).alias("curve"))
+    net = rows.agg(F.avg("ls_net").alias("ls_net"))
+    one = counts.crossJoin(p).crossJoin(curve).crossJoin(net).crossJoin(pooled_streams(rows, size))
+    if sweep is None:
+        one = one.withColumn("inverts", F.lit(None).cast("boolean"))
+    else:
+        ends = sweep.agg(F.count("*").alias("rungs"), F.min_by("ls_net", "fraction").alias("a"), F.max_by("ls_net", "fraction").alias("z"))
+        one = one.crossJoin(ends.select(F.when(F.col("rungs") > 1, (F.col("a") > 0) & (F.col("z") < 0)).alias("inverts")))
+
+    def judge(frames):
+        for pdf in frames:
+            out = []
+            for r in pdf.itertuples(index=False):
+                deflated = overfit = None
+                if r.bets >= 8 and r.sd > 0:
+                    deflated = dsr(r.mean / r.sd, max(8, int(r.bets) // size), r.skew, r.excess + 3, n_trials)
+                if len(r.blocks):
+                    cells = pd.DataFrame([(x["symbol"], x["block"], x["n"], x["s"], x["q"]) for x in r.blocks], columns=["symbol", "block", "n", "s", "q"])
+                    n, s, q = (cells.pivot(index="block", columns="symbol", values=c).to_numpy() for c in ("n", "s", "q"))
+                    overfit = learn.overfitting_of(n[:, 0], s, q, "mean")["pbo"]
+                out.append((r.n_datasets, r.n_samples, r.real_ic, r.p_value, list(r.curve), r.ls_net, deflated, n_trials, overfit, None if pd.isna(r.inverts) else bool(r.inverts)))
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in REPORT.split(", ")])
+
+    one = one.mapInPandas(judge, REPORT)
     return one.withColumn("verdict", harness_verdict(F.col("p_value"), F.col("pbo"), F.col("inverts"), F.col("dsr")))

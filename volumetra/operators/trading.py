@@ -48,6 +48,8 @@ def triple_barrier(bars: DataFrame, events: DataFrame, horizon: int = 20, profit
     return out.drop("_v", "_entry", "_hit", "_when", "_end", "_last")
 
 
+#: Equity that sizes any trade: plans are made before the cash is known.
+UNBOUNDED = 1e15
 TRADE = "symbol string, side string, entry_idx int, exit_idx int, entry_ts timestamp, exit_ts timestamp, entry_price double, exit_price double, size double, stop double, target double, pnl double, return_pct double, r_multiple double, exit_reason string, bars_held int"
 CURVE = "symbol string, idx int, ts timestamp, equity double"
 
@@ -57,9 +59,9 @@ def fill(price: float, side: int, slippage: float, half_spread: float) -> float:
 
 
 def fold(bars: pd.DataFrame, signals: dict[int, tuple], lookback: int = 120, cash: float = 10_000.0, slippage: float = 5.0, spread: float = 0.0, commission: float = 0.0, per_share: float = 0.0, risk: float = 0.01, max_hold: int | None = None, stride: int = 1):
-    """Trades and equity of one symbol. signals: bar index to (side, stop, target) decided at that bar's close.
+    """Trades and equity of one symbol. signals: bar index to (side, stop, target, risk of a unit) decided at that bar's close.
 
-    A signal fills at the next open, unless that open is beyond its stop. Size risks `risk` of the cash and costs no more
+    A signal counts if the cash of that moment sizes one unit at that risk (none given: it counts). It fills at the next open, unless that open is beyond its stop. Size risks `risk` of the cash and costs no more
     than the cash. After the entry bar an open beyond a level fills at the open; the stop is taken before the target.
     """
     o, h, l, c, ts = (bars[x].to_numpy() for x in ("open", "high", "low", "close", "ts"))
@@ -102,8 +104,10 @@ def fold(bars: pd.DataFrame, signals: dict[int, tuple], lookback: int = 120, cas
                 out = c[i], "time"
             if out:
                 close(i, fill(out[0], -side, slippage, half), out[1])
-        if pos is None and pending is None and (i - lookback + 1) % stride == 0:
-            pending = signals.get(i)
+        if pos is None and pending is None and (i - lookback + 1) % stride == 0 and i in signals:
+            side, stop, target, *unit = signals[i]
+            if not unit or math.floor(cash * risk / unit[0]) > 0:
+                pending = side, stop, target
         curve.append((i, ts[i], cash + (pos[0] * (c[i] - pos[1]) * pos[2] if pos else 0.0)))
     if pos is not None:
         close(len(c) - 1, float(c[-1]), "end")
@@ -112,9 +116,9 @@ def fold(bars: pd.DataFrame, signals: dict[int, tuple], lookback: int = 120, cas
 
 
 def candidate_signals(bars: DataFrame, lookback: int = 120, stride: int = 1, style: str = "reversion", mode: str = "auto") -> DataFrame:
-    """symbol, idx, side, stop, target of every bar whose window gives a trade."""
-    s = walk.scores(walk.windows(bars, lookback, stride), mode, style).filter("action <> 'no_trade'")
-    return s.select("symbol", "idx", F.when(F.col("action") == "long", 1).otherwise(-1).alias("side"), "stop", F.get("targets", F.lit(0)).alias("target"))
+    """symbol, idx, side, stop, target, risk_per_unit of every bar whose window gives a trade; the size is left to the cash of the day."""
+    s = walk.scores(walk.chunks(bars, lookback, stride), mode, style, UNBOUNDED).filter("action <> 'no_trade'")
+    return s.select("symbol", "idx", F.when(F.col("action") == "long", 1).otherwise(-1).alias("side"), "stop", F.get("targets", F.lit(0)).alias("target"), "risk_per_unit")
 
 
 def backtest(bars: DataFrame, signals: DataFrame, what: str = "trades", **settings) -> DataFrame:
@@ -123,7 +127,7 @@ def backtest(bars: DataFrame, signals: DataFrame, what: str = "trades", **settin
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values("idx")
-        own = {int(r.idx): (int(r.side), float(r.stop), float(r.target)) for r in right.itertuples()}
+        own = {int(r.idx): (int(r.side), float(r.stop), float(r.target), *([float(r.risk_per_unit)] if hasattr(r, "risk_per_unit") else [])) for r in right.itertuples()}
         trades, curve = fold(left, own, **settings)
         rows = [(key[0], *t) for t in (trades if what == "trades" else curve)]
         names = [x.split()[0] for x in (TRADE if what == "trades" else CURVE).split(", ")]

@@ -85,12 +85,12 @@ def aggregates_payload(spark, sf_dir):
     return rounded(files.aggregates_payload(p))
 
 
-@query("s6_daily_payload", f"WITH {FLAG} SELECT {_out(4)} FROM bars")
+@query("s6_daily_payload", f"WITH {FLAG} SELECT {_out(9)} FROM bars")
 def daily_payload(spark, sf_dir):
     b = B.flag_daily(spark, sf_dir)
     r = F.struct("symbol", F.date_format("ts", "yyyy-MM-dd").alias("date"), *B.OHLCV)
     p = b.groupBy("symbol", F.year("ts").alias("y")).agg(F.collect_list(r).alias("rs")).select(F.to_json("rs").alias("payload"))
-    return rounded(files.daily_payload(p), 4)
+    return rounded(files.daily_payload(p), 9)
 
 
 @query("s14_chart_payload", f"WITH {EVENT} SELECT {_out()} FROM bars")

@@ -9,7 +9,7 @@ from volumetra.functions.rolling import CLV_CLIPPED
 from volumetra.operators import profile as P
 from volumetra.operators import walk
 from volumetra.plans.registry import DUCK, EVENT, FLAG, query
-from volumetra.sources.bars import VIEWS, indexed
+from volumetra.sources.bars import VIEWS
 
 BINS = 50
 _G = f"g AS (SELECT symbol, min(low) AS lo, max(high) AS hi, (max(high) - min(low)) / {BINS} AS size, sum(volume) AS total, count(*) AS n_bars FROM bars WHERE volume > 0 GROUP BY symbol)"
@@ -125,8 +125,7 @@ def nearest_level(spark, sf_dir):
 @query("w15_level_anchoring")
 def level_anchoring(spark, sf_dir):
     """Closes next to a profile level, nodes included, within half an ATR."""
-    w = walk.windows(VIEWS["event"](spark, sf_dir), 120, 24)
-    s = walk.scores(w)
+    s = walk.scores(walk.chunks(VIEWS["event"](spark, sf_dir), 120, 24))
     d = F.array(*[F.struct(F.abs(F.col("price") - F.col(c)).alias("d"), F.lit(n).alias("n")) for c, n in (("poc", "POC"), ("vah", "VAH"), ("val", "VAL"))])
     return s.withColumn("b", F.array_min(d)).select("symbol", F.col("ts").cast("string").alias("ts"), F.when(F.col("b.d") < 0.5 * F.col("atr"), F.concat_ws(" ", F.col("b.n"), F.format_string("%.2f", F.when(F.col("b.n") == "POC", F.col("poc")).when(F.col("b.n") == "VAH", F.col("vah")).otherwise(F.col("val"))))).alias("at_level"))
 
@@ -229,9 +228,7 @@ def value_component(spark, sf_dir):
 
 def latest_scores(spark, sf_dir, style="reversion", lookback=250):
     """Score and plan of each symbol's last bar."""
-    b = indexed(VIEWS["event"](spark, sf_dir))
-    last = walk.windows(b.drop("idx", "n_bars"), lookback, 1).join(b.filter("idx = n_bars - 1").select("symbol", "ts"), ["symbol", "ts"], "left_semi")
-    return walk.scores(last, style=style)
+    return walk.scores(walk.latest(VIEWS["event"](spark, sf_dir), lookback), style=style)
 
 
 def _component(part):
@@ -282,8 +279,7 @@ def signal_gate(spark, sf_dir):
 
 def _plan(style):
     def run(spark, sf_dir):
-        w = walk.windows(VIEWS["event"](spark, sf_dir), 120, 12)
-        return walk.scores(w, style=style).select("symbol", F.col("ts").cast("string").alias("ts"), "action", "entry", "stop", "targets", "rr", "size", "reason")
+        return walk.scores(walk.chunks(VIEWS["event"](spark, sf_dir), 120, 12), style=style).select("symbol", F.col("ts").cast("string").alias("ts"), "action", "entry", "stop", "targets", "rr", "size", "reason")
 
     return run
 

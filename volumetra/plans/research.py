@@ -250,17 +250,12 @@ def pooled(spark, sf_dir):
 
 @query("m4_kmeans")
 def kmeans(spark, sf_dir):
-    """Clusters of the whole embeddings: the exact k-means on one group."""
-    e = B.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    """Clusters of the whole embeddings: k-means++ with six starts, as sums over the table."""
+    from volumetra.operators import cluster
 
-    def run(pdf):
-        X = np.stack(pdf.sort_values("vec_id")["embedding"].to_numpy()).astype(float)
-        c, loss, mu, sd = learn.kmeans(X, 3)
-        import pandas as pd
-
-        return pd.DataFrame({"vec_id": pdf.sort_values("vec_id")["vec_id"], "cluster": learn.assign(X, c, mu, sd)})
-
-    return e.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "vec_id long, cluster int")
+    e = B.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    c, _, mu, sd = cluster.kmeans(e, 3)
+    return cluster.assigned(e, c, mu, sd).withColumnRenamed("id", "vec_id")
 
 
 @query("m4_kmeans_at_scale")
@@ -468,5 +463,4 @@ def injection_sweep(spark, sf_dir):
 
 @query("g6_honest_report")
 def honest_report(spark, sf_dir):
-    rungs = [(x["fraction"], x["pooled_ic"], x["ls_net"]) for x in injection_sweep(spark, sf_dir).orderBy("fraction").collect()]  # three rows
-    return Q.honest_report(behavioral(spark, sf_dir), FOUR, HORIZON, STRIDE, perms=PERMUTATIONS, n_trials=11, sweep=rungs)
+    return Q.honest_report(behavioral(spark, sf_dir), FOUR, HORIZON, STRIDE, perms=PERMUTATIONS, n_trials=11, sweep=injection_sweep(spark, sf_dir))
