@@ -165,20 +165,22 @@ def test_near_lines_are_candidates(spark):
             pairs.append((x, y))
     df = spark.createDataFrame([(2 * i + k, p[k]) for i, p in enumerate(pairs) for k in (0, 1)], "id long, norm string")
     keys = {}
-    for r in lines.line_keys(df.withColumn("sketch", lines.sketch(df["norm"]))).collect():
+    for r in lines.line_keys(df.select("id", lines.sketch(df["norm"]).alias("s")).select("id", "s.*")).collect():
         keys.setdefault(r["id"], set()).add(r["key"])
     found = sum(bool(keys[2 * i] & keys[2 * i + 1]) for i in range(len(pairs)))
-    assert found >= 0.97 * len(pairs), found
+    assert found >= 0.95 * len(pairs), found
     assert not any(keys[2 * i] & keys[2 * i + 2] for i in range(len(pairs) - 1))
 
 
 def test_keys_of_a_turn(spark):
     df = spark.createDataFrame([(1, "one two three four five six seven eight"), (2, "ab cd efg hi jk"), (3, "日本語の文章はここにあります"), (4, "abcdefghi")], "id long, norm string")
-    df = df.withColumn("sketch", lines.sketch(df["norm"]))
+    df = df.select("id", lines.sketch(df["norm"]).alias("s")).select("id", "s.*")
     rows = lambda x: sorted(map(tuple, x.collect()))
     every = rows(lines.line_keys(df))
     assert every == sorted(rows(lines.line_keys(df, 0, 2)) + rows(lines.line_keys(df, 1, 2))) and len({i for _, i in every}) == 4
-    assert sum(i == 1 for _, i in every) == 20
+    assert sum(i == 1 for _, i in every) == 15
+    turn = dict(rows(lines.line_keys(df, 1, 2)))
+    assert not any(k in turn for k, _ in rows(lines.line_keys(df, 0, 2)))  # a key has one turn, whichever words it is made of
 
 
 def test_lines_by_brute_force(spark):
