@@ -461,12 +461,53 @@ def test_passages_match_all_windows(spark):
         assert (out[i]["n_words"], out[i]["n_removed"], out[i]["kept"]) == (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()), i
 
 
+BATCHES = [[1, 2], [2, 3], [3, 4], [1, 9], [4, 5, 9], [7]]
+SHARED = [set(), {2}, {3}, {1}, {4, 9}, set()]
+
+
+def batch(spark, k):
+    return spark.createDataFrame([(f, k) for f in BATCHES[k]], "fp long, doc_id long")
+
+
 def test_index_runs_compact(spark):
     from volumetra.llm.common import Scratch
 
-    index = passages.FingerprintIndex(spark, Scratch(spark, "t"))
-    shared = [{r["fp"] for r in index.append(spark.createDataFrame([(f, d) for f in fps], "fp long, doc_id long")).collect()} for d, fps in enumerate([[1, 2], [2, 3], [3, 4], [1, 9]])]
-    assert shared == [set(), {2}, {3}, {1}] and len(index.runs) < 4
+    scratch = Scratch(spark, "t")
+    index = passages.FingerprintIndex(spark, scratch.path("index"))
+    levels = []
+    for k, want in enumerate(SHARED):
+        assert {r["fp"] for r in index.append(batch(spark, k), scratch).collect()} == want
+        levels.append(sorted(r[0] for r in index.runs))
+    assert levels == [[0], [0, 0], [0, 1], [0, 0, 1], [0, 2], [0, 0, 2]]
+    assert {r["fp"]: (r["lo"], r["hi"]) for r in index.read(max(index.runs)).collect()}[1] == (0, 3)
+    index.close(keep=False)
+    assert not spark.catalog.listTables(pattern=f"fingerprints_{index.id}*")
+
+
+def test_index_opens_again(spark):
+    """One index, closed and opened between batches, and a run that was never finished beside it."""
+    from volumetra.llm.common import Scratch
+
+    scratch = Scratch(spark, "t")
+    folder = scratch.path("index")
+    spark.range(3).selectExpr("id as fp", "-id as lo", "id as hi").write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{folder}/run-0-90-4")
+    for k, want in enumerate(SHARED):
+        index = passages.FingerprintIndex(spark, folder)
+        assert {r["fp"] for r in index.append(batch(spark, k), scratch).collect()} == want
+        index.close()
+
+
+def test_no_shuffle_between_runs(spark):
+    from volumetra.llm.common import Scratch
+
+    scratch = Scratch(spark, "t")
+    index = passages.FingerprintIndex(spark, scratch.path("index"))
+    for k in (0, 1):
+        index.append(batch(spark, k), scratch)
+    one, two = (index.read(r) for r in index.runs)
+    plan = one.join(two.hint("merge"), "fp")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    index.close()
 
 
 # --- 9 ----------------------------------------------------------------------

@@ -5,11 +5,14 @@ are fingerprints that are the least of WINDOW - GRAM + 1 neighbours (winnowing):
 two equal windows choose the same ones, so every shared window shares a
 fingerprint, at about a quarter of the windows.
 
-The index is a list of sorted immutable runs (fp, lo, hi: the smallest and
-largest doc_id that has it). A batch of documents becomes a run; it is
-merge-joined with the historical runs, which gives the fingerprints that two
-documents share; more than FANOUT runs are compacted into one. An index that
-was kept can be opened again, and new documents appended.
+The index is a folder of sorted immutable runs (fp, lo, hi: the smallest and
+largest doc_id that has it), each a table bucketed by fp, so that runs are
+merge-joined where they lie, without a shuffle. A batch of documents becomes a run
+of level 0 and is merge-joined with every historical run, which gives the
+fingerprints that two documents share. Two runs of a level are compacted into one
+of the next before a batch is added, so a fingerprint is rewritten as often as the
+logarithm of the batches. An index can be opened again, and new documents added:
+the registered query adds its table in BATCHES batches and compacts once.
 
 Documents with one word sequence are settled first: all but those with the
 smallest doc_id lose every word, and only the others meet the index.
@@ -27,6 +30,7 @@ have no words; a text of fewer than WINDOW words loses none.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from itertools import compress
 
 import numpy as np
@@ -34,11 +38,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volumetra.llm.common import BROADCAST_ROWS, Scratch, batches, gram_hashes, ship, word_hashes, word_lists
+from volumetra.llm.common import BROADCAST_ROWS, Scratch, batches, gram_hashes, only, salted_join, ship, word_hashes, word_lists
 
 WINDOW, GRAM = 13, 6
 SPAN = WINDOW - GRAM + 1
-FANOUT = 3
+BATCHES = 4
 
 
 def _slide(x: np.ndarray, n: int, op) -> np.ndarray:
@@ -110,31 +114,87 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of fingerprints in one folder."""
-
-    def __init__(self, spark: SparkSession, scratch: Scratch):
-        self.spark, self.scratch, self.runs = spark, scratch, []
-
-    def append(self, fps: DataFrame) -> DataFrame:
-        """Adds a batch (fp, doc_id); returns the fingerprints of the batch that two documents share, history included."""
-        run = self.scratch.save(fps.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).sortWithinPartitions("fp"), "run")
-        shared = run.filter("lo != hi").select("fp")
-        for old in self.runs:
-            hit = run.alias("n").join(old.alias("o").hint("merge"), "fp").filter("n.lo != o.lo or n.hi != o.hi or n.lo != n.hi")
+    """Sorted immutable runs of fingerprints in one folder, which may hold an index already.
+
+    A run's folder is named by its level, its number and its buckets; one that was not written to its end has no _SUCCESS
+    file and is not part of the index.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+        self.id = uuid.uuid4().hex
+        #: (level, number, buckets) of each run
+        self.runs = []
+        path = self._path(folder)
+        files = self._files(path)
+        if files.exists(path):
+            for s in files.listStatus(path):
+                kind, *numbers = s.getPath().getName().split("-")
+                if kind == "run" and files.exists(self._path(f"{s.getPath()}/_SUCCESS")):
+                    self._known(tuple(map(int, numbers)))
+
+    def _path(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+
+    def _files(self, path):
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _place(self, run) -> str:
+        return "/".join([self.folder, "-".join(map(str, ("run", *run)))])
+
+    def _table(self, run) -> str:
+        return f"fingerprints_{self.id}_{run[1]}"
+
+    def _known(self, run) -> None:
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self._table(run)} (fp BIGINT, lo BIGINT, hi BIGINT) USING parquet OPTIONS (path '{self._place(run)}') CLUSTERED BY (fp) SORTED BY (fp) INTO {run[2]} BUCKETS")
+        self.runs = sorted([*self.runs, run], key=lambda r: r[1])
+
+    def _write(self, rows: DataFrame, level: int, buckets: int) -> tuple:
+        """rows (fp, lo, hi), dealt by fp to so many tasks, as a new run."""
+        run = (level, 1 + max((r[1] for r in self.runs), default=0), buckets)
+        rows = rows.select("fp", "lo", "hi").sortWithinPartitions("fp")
+        rows.write.mode("overwrite").format("parquet").option("compression", "zstd").option("path", self._place(run)).bucketBy(buckets, "fp").sortBy("fp").saveAsTable(self._table(run))
+        self.runs = sorted([*self.runs, run], key=lambda r: r[1])
+        return run
+
+    def read(self, run) -> DataFrame:
+        return self.spark.table(self._table(run))
+
+    def append(self, fps: DataFrame, scratch: Scratch) -> DataFrame:
+        """Adds a batch (fp, doc_id); returns the fingerprints of the batch that two documents share, history included, as a written table."""
+        self.compact()
+        history = list(self.runs)
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = fps.repartition(buckets, "fp").groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+        new = self.read(self._write(rows, 0, buckets))
+        shared = new.filter("lo != hi").select("fp")
+        for run in history:
+            hit = new.alias("n").join(self.read(run).alias("o").hint("merge"), "fp").filter("n.lo != o.lo or n.hi != o.hi or n.lo != n.hi")
             shared = shared.unionByName(hit.select("fp"))
-        shared = self.scratch.save(shared.distinct(), "shared")
-        self.runs.append(run)
-        if len(self.runs) >= FANOUT:
-            self.compact()
-        return shared
+        return scratch.save(shared.distinct(), "shared")
 
     def compact(self) -> None:
-        every = self.runs[0]
-        for r in self.runs[1:]:
-            every = every.unionByName(r)
-        one = self.scratch.save(every.groupBy("fp").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).sortWithinPartitions("fp"), "run")
-        self.scratch.drop(*self.runs)
-        self.runs = [one]
+        """Merges two runs of a level, as long as there are two."""
+        while pair := next(([r for r in self.runs if r[0] == level][:2] for level in sorted({r[0] for r in self.runs}) if sum(r[0] == level for r in self.runs) > 1), None):
+            one, two = (self.read(r) for r in pair)
+            merged = one.withColumnsRenamed({"lo": "lo1", "hi": "hi1"}).join(two.withColumnsRenamed({"lo": "lo2", "hi": "hi2"}).hint("merge"), "fp", "full")
+            self._write(merged.select("fp", F.least("lo1", "lo2").alias("lo"), F.greatest("hi1", "hi2").alias("hi")), pair[0][0] + 1, pair[0][2])
+            for r in pair:
+                self._forget(r)
+                path = self._path(self._place(r))
+                self._files(path).delete(path, True)
+
+    def _forget(self, run) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._table(run)}")
+        self.runs.remove(run)
+
+    def close(self, keep: bool = True) -> None:
+        """Forgets the tables; the folder stays, unless it is not to be kept."""
+        for r in list(self.runs):
+            self._forget(r)
+        if not keep:
+            path = self._path(self.folder)
+            self._files(path).delete(path, True)
 
 
 def candidate_windows(texts: DataFrame) -> DataFrame:
@@ -205,44 +265,45 @@ def rewrite(texts: DataFrame, text_out: bool = False) -> DataFrame:
 
 def shared_fingerprints(fps: DataFrame, scratch: Scratch, n_batches: int) -> DataFrame:
     """Fingerprints that two documents share, the table (fp, doc_id) taken in batches of doc_id through one index."""
-    index = FingerprintIndex(fps.sparkSession, scratch)
+    index = FingerprintIndex(fps.sparkSession, scratch.path("index"))
     span = fps.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
     shared = []
     if span["lo"] is not None:
         step = max(1, -(-(span["hi"] - span["lo"] + 1) // n_batches))
         for lo in range(span["lo"], span["hi"] + 1, step):
-            shared.append(index.append(fps.filter(F.col("doc_id").between(lo, lo + step - 1))))
-    scratch.drop(*index.runs)
+            shared.append(index.append(fps.filter(F.col("doc_id").between(lo, lo + step - 1)), scratch))
+    index.close(keep=False)
     if not shared:
         return fps.select("fp").limit(0)
     every = shared[0]
     for s in shared[1:]:
         every = every.unionByName(s)
-    return scratch.save(every.distinct(), "every")
-
-
-def _some(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """docs with (left_semi) or without (left_anti) the doc_ids of a written table; narrow and small, it is broadcast."""
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    return docs.join(ids, "doc_id", how)
+    out = scratch.save(every.distinct(), "every")
+    scratch.drop(*shared)
+    return out
 
 
-def dedup_passages(docs: DataFrame, n_batches: int = 2, text_out: bool = False) -> DataFrame:
+def dedup_passages(docs: DataFrame, n_batches: int = BATCHES, text_out: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept (SHA-256 of the kept words joined by one space, or that text) of every row."""
     scratch = Scratch(docs.sparkSession, "passages")
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
     rows = scratch.save(sequences(docs, text_out), "rows")
-    same = rows.filter("seq is not null and doc_id is not null").groupBy("seq").agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest")).filter("lowest < highest").select(F.col("seq").alias("s_seq"), "lowest")
-    rows = scratch.save(rows.join(same, rows.seq == F.col("s_seq"), "left").select("doc_id", "text_key", "n_words", "kept", F.coalesce(F.col("doc_id") > F.col("lowest"), F.lit(False)).alias("copy")), "rows")
-    # a doc_id is left out where no row of it is to be looked at: too short, or a copy
+    same = rows.filter("seq is not null and doc_id is not null").groupBy("seq").agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest"), F.count("*").alias("n")).filter("lowest < highest")
+    whole = salted_join(rows, same.drop("highest"), "seq", "doc_id", rows.count(), "left")
+    rows_ = scratch.save(whole.select("doc_id", "text_key", "n_words", "kept", F.coalesce(F.col("doc_id") > F.col("lowest"), F.lit(False)).alias("copy")), "rows")
+    scratch.drop(rows)
+    rows = rows_
+    # a doc_id is looked at where some row of it is long enough and no copy
     open_ids = scratch.save(rows.filter(f"doc_id is not null and not copy and n_words >= {WINDOW}").select("doc_id").distinct(), "ids")
     shut = scratch.save(rows.filter("doc_id is not null").select("doc_id").distinct().join(open_ids, "doc_id", "left_anti"), "shut")
-    live = _some(docs.filter("doc_id is not null"), shut, "left_anti")
+    live = docs.filter("doc_id is not null")
+    n_shut = shut.count()
+    live = live.join(F.broadcast(shut), "doc_id", "left_anti") if n_shut <= BROADCAST_ROWS else only(live, open_ids, "doc_id", open_ids.count())
     fps = scratch.save(fingerprints(live), "fps")
     shared = shared_fingerprints(fps, scratch, n_batches)
     with_shared = scratch.save(fps.join(shared, "fp").groupBy("doc_id").agg(F.collect_list("fp").alias("fps")), "with")
     scratch.drop(fps, shared)
-    texts = scratch.save(_some(live, with_shared.select("doc_id"), "left_semi").join(with_shared.hint("merge"), "doc_id"), "texts")
+    texts = scratch.save(only(live, with_shared.select("doc_id"), "doc_id", with_shared.count()).join(with_shared.hint("merge"), "doc_id"), "texts")
     scratch.drop(with_shared)
     windows = scratch.save(candidate_windows(texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "fps")), "windows")
     first = windows.groupBy("h", "c").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h", "c", "lo")
@@ -250,7 +311,7 @@ def dedup_passages(docs: DataFrame, n_batches: int = 2, text_out: bool = False)
     gone = windows.join(first, ["h", "c"]).filter("doc_id > lo").groupBy("doc_id").agg(F.collect_list("h").alias("gone"))
     gone = scratch.save(gone, "gone")
     scratch.drop(windows, first)
-    changed = _some(texts.drop("fps"), gone.select("doc_id"), "left_semi").join(gone.hint("merge"), "doc_id")
+    changed = only(texts.drop("fps"), gone.select("doc_id"), "doc_id", gone.count()).join(gone.hint("merge"), "doc_id")
     changed = scratch.save(rewrite(changed, text_out), "changed")
     scratch.drop(texts, gone)
     changed = changed.dropDuplicates(["doc_id", "text_key"]).select(F.col("doc_id").alias("x"), F.col("text_key").alias("y"), F.col("n_removed").alias("r"), F.col("kept").alias("k"))
