@@ -312,6 +312,17 @@ def level_near(price: float, p: dict | None, tolerance: float) -> str | None:
     return f"{name} {at:.2f}" if abs(price - at) < tolerance else None
 
 
+# What a pattern is called, and the sentences that tell of it. {near}: " near <level>" or nothing.
+PATTERN_LEADS = {"dry_up": "Volume dry-up", "climax": "Volume climax", "divergence": "{side} volume divergence over {n} bars", "accumulation": "Possible accumulation"}
+PATTERN_TEXTS = {
+    "dry_up": "{lead}: {n} bars with volume ≤50% of its longer-term baseline (low {strength:.0%}) — supply thinning, watch for expansion{near}.",
+    "climax": "{lead}: {strength:.1f}× average volume on a wide bar ({trade} climax){near} — potential exhaustion / reversal.",
+    "bearish": "{lead}: price rising while volume fades — rally lacks participation.",
+    "bullish": "{lead}: price falling on shrinking volume — selling pressure waning.",
+    "accumulation": "{lead}: {n} bars coiling in a tight, flat range on below-average volume{near}.",
+}
+
+
 def patterns(o, h, l, c, v, p: dict | None = None) -> list[dict]:
     """All volume patterns of the window, by the place of their anchor."""
     n = len(c)
@@ -333,25 +344,29 @@ def patterns(o, h, l, c, v, p: dict | None = None) -> list[dict]:
         depth = np.clip(1 - m20 / np.where(full60 == 0, np.nan, full60), 0, 1)
     out = []
 
-    def add(kind, direction, anchor, run, strength, text, anchored=True):
-        near = level_near(float(c[anchor]), p, 0.5 * float(a[anchor])) if anchored else None
-        out.append({"type": kind, "direction": direction, "at": int(anchor), "price": float(c[anchor]), "volume": float(v[anchor]), "strength": float(strength), "start": run[0], "end": run[1], "n_bars": run[1] - run[0] + 1, "at_level": near, "text": text(near)})
+    def add(kind, direction, anchor, run, strength, figure=None):
+        n_bars = run[1] - run[0] + 1
+        near = level_near(float(c[anchor]), p, 0.5 * float(a[anchor])) if kind != "divergence" else None
+        lead = PATTERN_LEADS[kind].format(side=direction.title(), n=n_bars)
+        place = f" {'at' if kind == 'climax' else 'near'} {near}" if near else ""
+        words = PATTERN_TEXTS[direction if kind == "divergence" else kind]
+        text = words.format(lead=lead, n=n_bars, strength=strength if figure is None else figure, trade="buying" if direction == "bearish" else "selling", near=place)
+        out.append({"type": kind, "direction": direction, "at": int(anchor), "price": float(c[anchor]), "volume": float(v[anchor]), "strength": float(strength), "start": run[0], "end": run[1], "n_bars": n_bars, "at_level": near, "lead": lead, "text": text})
 
     for s, e in runs(dry <= 0.5):
         if e - s >= 2:
             at = s + int(np.argmin(dry[s : e + 1]))
-            add("dry_up", "neutral", at, (s, e), 1 - dry[at], lambda near, s=s, e=e, at=at: f"Volume dry-up: {e - s + 1} bars with volume ≤50% of its longer-term baseline (low {dry[at]:.0%}) — supply thinning, watch for expansion" + (f" near {near}" if near else "") + ".")
+            add("dry_up", "neutral", at, (s, e), 1 - dry[at], dry[at])
     for s, e in runs((ratio >= 2.5) & (wide >= 1.5)):
         at = s + int(np.argmax(ratio[s : e + 1]))
-        up = c[at] >= o[at]
-        add("climax", "bearish" if up else "bullish", at, (s, e), ratio[at], lambda near, at=at, up=up: f"Volume climax: {ratio[at]:.1f}× average volume on a wide bar ({'buying' if up else 'selling'} climax)" + (f" at {near}" if near else "") + " — potential exhaustion / reversal.")
-    for direction, flag, what in (("bearish", (ps > 5e-4) & (vs < -5e-4), "price rising while volume fades — rally lacks participation"), ("bullish", (ps < -5e-4) & (vs < -5e-4), "price falling on shrinking volume — selling pressure waning")):
+        add("climax", "bearish" if c[at] >= o[at] else "bullish", at, (s, e), ratio[at])
+    for direction, flag in (("bearish", (ps > 5e-4) & (vs < -5e-4)), ("bullish", (ps < -5e-4) & (vs < -5e-4))):
         for s, e in runs(flag):
             if e - s >= 2:
-                add("divergence", direction, e, (s, e), abs(vs[e]) / 5e-4, lambda near, s=s, e=e, d=direction, t=what: f"{d.title()} volume divergence over {e - s + 1} bars: {t}.", False)
+                add("divergence", direction, e, (s, e), abs(vs[e]) / 5e-4)
     for s, e in runs(flat):
         if e - s >= 4:
-            add("accumulation", "bullish", e, (s, e), depth[e] if np.isfinite(depth[e]) else 0.5, lambda near, s=s, e=e: f"Possible accumulation: {e - s + 1} bars coiling in a tight, flat range on below-average volume" + (f" near {near}" if near else "") + ".")
+            add("accumulation", "bullish", e, (s, e), depth[e] if np.isfinite(depth[e]) else 0.5)
     return sorted(out, key=lambda x: x["at"])
 
 
@@ -360,36 +375,51 @@ def patterns(o, h, l, c, v, p: dict | None = None) -> list[dict]:
 WEIGHTS = {"value_area": 1.0, "key_level": 1.0, "quiet": 1.5, "patterns": 1.5}
 
 
+# The reasons that components give, and what a rationale is made of.
+REASONS = {
+    "below": "below value (under VAL {val:.2f}) — stretched, reversion pull up",
+    "above": "above value (over VAH {vah:.2f}) — stretched, reversion pull down",
+    "low": "near value-area low (VAL {val:.2f}) — bounce zone",
+    "high": "near value-area high (VAH {vah:.2f}) — rejection zone",
+    "balanced": "balanced inside the value area (POC {poc:.2f})",
+    "no_node": "no major volume node nearby",
+    "pocket": "inside LVN {at:.2f} (air pocket — fast moves)",
+    "support": "holding above HVN {at:.2f} (support)",
+    "resistance": "capped below HVN {at:.2f} (resistance)",
+    "coil": "quiet coil (score {score:.0f}/100) — primed for a move",
+    "active": "active market (quiet score {score:.0f}/100)",
+    "no_pattern": "no recent volume patterns",
+    "patterns": "{n} active; latest: {lead}",
+    "weak": "little decisive evidence yet",
+}
+HEADS = {"bullish": "Bullish setup", "bearish": "Bearish setup", "neutral": "Neutral / balanced setup"}
+
+
 def value_area_part(price: float, p: dict) -> tuple[float, int, str]:
     at = (price - p["val"]) / max(p["vah"] - p["val"], 1e-9)
-    if at < 0:
-        return min(0.98, 0.9 - 0.25 * at), 1, f"below value (under VAL {p['val']:.2f}) — stretched, reversion pull up"
-    if at > 1:
-        return min(0.98, 0.9 + 0.25 * (at - 1)), -1, f"above value (over VAH {p['vah']:.2f}) — stretched, reversion pull down"
-    strength = 0.2 + 1.4 * abs(at - 0.5)
-    if at <= 0.45:
-        return strength, 1, f"near value-area low (VAL {p['val']:.2f}) — bounce zone"
-    if at >= 0.55:
-        return strength, -1, f"near value-area high (VAH {p['vah']:.2f}) — rejection zone"
-    return strength, 0, f"balanced inside the value area (POC {p['poc']:.2f})"
+    beyond = max(-at, at - 1)
+    if beyond > 0:
+        strength, side, why = min(0.98, 0.9 + 0.25 * beyond), (1 if at < 0 else -1), "below" if at < 0 else "above"
+    else:
+        side = (at <= 0.45) - (at >= 0.55)
+        strength, why = 0.2 + 1.4 * abs(at - 0.5), {1: "low", -1: "high", 0: "balanced"}[side]
+    return strength, side, REASONS[why].format(val=p["val"], vah=p["vah"], poc=p["poc"])
 
 
 def key_level_part(price: float, p: dict, unit: float) -> tuple[float, int, str]:
-    far = (math.inf, 0.0)
-    dh, hvn = min(((abs(n[0] - price), n[0]) for n in p["hvn"]), key=lambda x: x[0], default=far)
-    dl, lvn = min(((abs(n[0] - price), n[0]) for n in p["lvn"]), key=lambda x: x[0], default=far)
+    """The nearest node within half a range unit; a tie is the high-volume node's."""
     within = 0.5 * unit
-    if min(dh, dl) > within or math.isinf(min(dh, dl)):
-        return 0.1, 0, "no major volume node nearby"
-    if dh > dl:
-        return 0.3 + 0.5 * (1 - dl / within), 0, f"inside LVN {lvn:.2f} (air pocket — fast moves)"
-    side = 1 if price >= hvn else -1
-    return 0.3 + 0.6 * (1 - dh / within), side, f"holding above HVN {hvn:.2f} (support)" if side > 0 else f"capped below HVN {hvn:.2f} (resistance)"
+    nodes_ = [(abs(n[0] - price), rank, n[0]) for rank, kind in enumerate(("hvn", "lvn")) for n in p[kind]]
+    far, rank, at = min(nodes_, key=lambda x: x[:2], default=(math.inf, 0, 0.0))
+    if far > within:
+        return 0.1, 0, REASONS["no_node"]
+    side = 0 if rank else 1 if price >= at else -1
+    why = {0: "pocket", 1: "support", -1: "resistance"}[side]
+    return 0.3 + (0.5 if rank else 0.6) * (1 - far / within), side, REASONS[why].format(at=at)
 
 
 def quiet_part(q: dict) -> tuple[float, int, str]:
-    reason = f"quiet coil (score {q['score']:.0f}/100) — primed for a move" if q["is_quiet"] else f"active market (quiet score {q['score']:.0f}/100)"
-    return max(0.0, min(1.0, q["score"] / 100)), 0, reason
+    return max(0.0, min(1.0, q["score"] / 100)), 0, REASONS["coil" if q["is_quiet"] else "active"].format(score=q["score"])
 
 
 def pattern_force(x: dict) -> tuple[int, float]:
@@ -398,21 +428,16 @@ def pattern_force(x: dict) -> tuple[int, float]:
     return {"accumulation": (1, min(1.0, max(0.4, s))), "dry_up": (0, min(1.0, max(0.3, s))), "divergence": (side, 0.6), "climax": (side, min(1.0, max(0.3, (s - 1) / 3)))}[x["type"]]
 
 
-def lead_clause(text: str, limit: int = 70) -> str:
-    head = text.split(" — ")[0].split(":")[0]
-    return head[:limit] + "…" if len(head) > limit else head
-
-
 def patterns_part(found: list[dict], n: int, recency: int = 10) -> tuple[float, int, str]:
     active = [x for x in found if x["at"] >= n - 1 - recency]
     if not active:
-        return 0.0, 0, "no recent volume patterns"
+        return 0.0, 0, REASONS["no_pattern"]
     forces = [pattern_force(x) for x in active]
     weights = [f * max(0.0, min(1.0, 1 - (n - 1 - x["at"]) / max(recency, 1))) for x, (_, f) in zip(active, forces)]
     total = sum(weights)
     lean = sum(d * w for (d, _), w in zip(forces, weights)) / total if total > 0 else 0.0
-    latest = lead_clause(max(active, key=lambda x: x["at"])["text"])
-    reason = latest if len(active) == 1 else f"{len(active)} active; latest: {latest}"
+    lead = max(active, key=lambda x: x["at"])["lead"]
+    reason = lead if len(active) == 1 else REASONS["patterns"].format(n=len(active), lead=lead)
     return max(0.0, min(1.0, max(weights))), (lean > 0.15) - (lean < -0.15), reason
 
 
@@ -435,13 +460,13 @@ def score(h, l, c, p: dict, q: dict, found: list[dict]) -> dict:
 
 
 def rationale(bias: str, quality: float, parts: dict) -> str:
-    ranked = sorted(parts.items(), key=lambda x: -WEIGHTS[x[0]] * x[1][0])
-    leads = [r for _, (s, _, r) in ranked if s >= 0.25][:2]
-    head = {"bullish": "Bullish setup", "bearish": "Bearish setup", "neutral": "Neutral / balanced setup"}[bias]
-    text = f"{head} (quality {quality:.0f}/100): {'; '.join(leads) if leads else 'little decisive evidence yet'}."
-    side = {"bullish": 1, "bearish": -1}.get(bias, 0)
-    against = [r for _, (s, d, r) in ranked if side and d == -side and s >= 0.4]
-    return text + (f" Caution: {against[0]}." if against else "")
+    """The two weightiest parts of some strength, and the first strong one that points the other way."""
+    by_weight = sorted(parts, key=lambda k: WEIGHTS[k] * parts[k][0], reverse=True)
+    told = [parts[k][2] for k in by_weight if parts[k][0] >= 0.25]
+    opposite = {"bullish": -1, "bearish": 1}.get(bias)
+    doubts = [parts[k][2] for k in by_weight if opposite and parts[k][1] == opposite and parts[k][0] >= 0.4]
+    line = "; ".join(told[:2]) or REASONS["weak"]
+    return f"{HEADS[bias]} (quality {quality:.0f}/100): {line}." + "".join(f" Caution: {d}." for d in doubts[:1])
 
 
 def plan(s: dict, p: dict, style: str = "reversion", equity: float = 10_000.0, min_quality: float = 55.0, min_bias: float = 15.0, min_rr: float = 1.5, stop_atr: float = 1.5, stop_buffer: float = 0.25, breakout_buffer: float = 0.1, target_rr: float = 2.0, risk: float = 0.01, require_quiet: bool = False, min_quiet: float = 60.0) -> dict:

@@ -369,6 +369,47 @@ def evidence_verdict(e: DataFrame) -> DataFrame:
     return e.withColumn("verdict", v)
 
 
+# Why a verdict is what it is.
+VERDICT_REASONS = {
+    "overfit": "PBO %.0f%% ≥ 50%%: selecting the best config is overfitting.",
+    "no_edge": "permutation p = %.3f ≥ 0.05: does not beat its shuffled null.",
+    "inverts": "signal inverts sign under survivorship injection — a survivorship mirage (the survivor pattern reverses on delisted names).",
+    "lost": "significant on survivors but loses significance under survivorship injection.",
+    "no_dsr": "survives injection, but the selection-adjusted Sharpe (DSR) was not computed — cannot validate without it.",
+    "low_dsr": "survives injection but DSR %.2f < 0.95: not selection-proof.",
+    "validated": "clears permutation, survivorship injection, and the deflated-Sharpe bar.",
+    "untested": "significant on this sample but survivorship was not (or could not be) tested.",
+    "no_test": "no decisive significance test available; treat as a hypothesis only.",
+}
+BANNER = "⚠️ AUTOMATED CORRECTION: the explanation above contained language asserting an edge that the evidence does NOT support (verdict: %s). Reason: %s Treat any such claim as unsupported."
+
+
+def verdict_reason(e: DataFrame) -> DataFrame:
+    """Evidence with its verdict and the reason for it."""
+    no, text = F.lit(False), VERDICT_REASONS
+    sig = F.coalesce(F.col("p_value") < SIGNIFICANT, no)
+    whole = sig & F.coalesce(F.col("survives"), no)
+    say = lambda k: F.lit(text[k])
+    reason = (
+        F.when(F.col("verdict") == "overfit", F.format_string(text["overfit"], F.col("pbo") * 100))
+        .when(F.col("verdict") == "no_edge", F.format_string(text["no_edge"], "p_value"))
+        .when(F.coalesce(F.col("inverts"), no), say("inverts"))
+        .when(F.col("verdict") == "survivorship_fragile", say("lost"))
+        .when(whole & F.col("dsr").isNull(), say("no_dsr"))
+        .when(whole & (F.col("dsr") < DSR_BAR), F.format_string(text["low_dsr"], "dsr"))
+        .when(whole, say("validated"))
+        .when(sig, say("untested"))
+        .otherwise(say("no_test"))
+    )
+    return evidence_verdict(e).withColumn("reason", reason)
+
+
+def correction(text: Column, verdict: Column, reason: Column) -> Column:
+    """The banner for a text that claims more than its verdict allows; null where it does not."""
+    claims = (verdict != "validated") & (F.size(overclaims(text)) > 0)
+    return F.when(claims, F.format_string(BANNER, verdict, reason))
+
+
 # Phrases that claim an edge.
 OVERCLAIMS = (
     r"\bprofitabl\w*\b", r"\b(strong|real|genuine|reliable|robust|proven|clear)\s+(edge|signal|alpha)\b", r"\b(edge|signal|alpha)\s+is\s+(real|genuine|reliable|durable|robust|proven)\b",
@@ -383,6 +424,8 @@ def overclaims(text: Column) -> Column:
     return F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(f"(?i){p}"), 0) for p in OVERCLAIMS]))
 
 
+# What a verdict is called in a narration, and how one ends.
+CLOSING = "This is a research finding, not a tradeable signal or financial advice. On survivorship-biased data, apparent edges routinely vanish or invert once delisted names are present."
 HEADLINES = {
     "overfit": "OVERFIT — the selection is fitting noise, not signal.",
     "no_edge": "NO EDGE — fails its own permutation null.",
@@ -397,7 +440,7 @@ def narrate(e: DataFrame) -> DataFrame:
     f = lambda fmt, c: F.when(F.col(c).isNotNull(), F.format_string(fmt, F.col(c)))
     stats = F.concat_ws("; ", f("OOS IC %+.3f", "oos_ic"), f("permutation p = %.3f", "p_value"), f("DSR %.2f", "dsr"), F.when(F.col("pbo").isNotNull(), F.format_string("PBO %.0f%%", F.col("pbo") * 100)), F.when(F.col("survives"), "survives injection").when(~F.col("survives"), "fails under injection"), F.when(F.col("inverts"), "INVERTS off survivors"))
     head = F.element_at(F.create_map(*[x for k, v in HEADLINES.items() for x in (F.lit(k), F.lit(v))]), F.col("verdict"))
-    closing = F.when(F.col("verdict") != "validated", "This is a research finding, not a tradeable signal or financial advice. On survivorship-biased data, apparent edges routinely vanish or invert once delisted names are present.")
+    closing = F.when(F.col("verdict") != "validated", CLOSING)
     line = F.when(stats == "", "no summary statistics provided").otherwise(stats)
     return e.withColumn("narration", F.concat_ws("\n", F.concat(F.lit("Signal: "), "name"), F.concat(F.lit("Verdict: "), head), F.concat(F.lit("Evidence: "), line, F.lit(".")), closing))
 

@@ -54,6 +54,99 @@ TRADE = "symbol string, side string, entry_idx int, exit_idx int, entry_ts times
 CURVE = "symbol string, idx int, ts timestamp, equity double"
 
 
+def fill(price: float, side: int, slippage: float, half_spread: float) -> float:
+    return price * (1 + side * (slippage + half_spread) / 1e4)
+
+
+class Fills:
+    """The fill machine of one symbol: a few numbers of state, one bar a step, in a batch or a stream.
+
+    A signal (side, stop, target, risk of a unit) is taken at a close if the cash of that moment sizes one unit at that
+    risk (none given: it counts). It fills at the next open, unless that open is beyond its stop. Size risks `risk` of the
+    cash and costs no more than the cash. After the entry bar an open beyond a level fills at the open; the stop is taken
+    before the target.
+    """
+
+    def __init__(self, cash: float = 10_000.0, slippage: float = 5.0, spread: float = 0.0, commission: float = 0.0, per_share: float = 0.0, risk: float = 0.01, max_hold: int | None = None):
+        self.cash, self.slippage, self.half, self.commission, self.per_share, self.risk, self.max_hold = cash, slippage, spread / 2, commission, per_share, risk, max_hold
+        #: (side, entry, size, stop, target, bar, time) and (side, stop, target)
+        self.pos = self.pending = None
+
+    def pay(self, price: float, size: float) -> float:
+        return price * size * self.commission / 1e4 + self.per_share * size
+
+    def close(self, i: int, ts, price: float, why: str) -> tuple:
+        side, entry, size, stop, target, since, since_ts = self.pos
+        pnl = side * (price - entry) * size - self.pay(entry, size) - self.pay(price, size)
+        self.cash += pnl
+        at_risk = abs(entry - stop) * size
+        self.pos = None
+        return ("long" if side > 0 else "short", since, i, since_ts, ts, entry, price, size, stop, target, pnl, pnl / (entry * size) * 100, pnl / at_risk if at_risk else 0.0, why, i - since)
+
+    def enter(self, i: int, ts, o: float) -> None:
+        side, stop, target = self.pending
+        self.pending = None
+        entry = fill(o, side, self.slippage, self.half)
+        if side * (entry - stop) > 0:
+            size = min(math.floor(self.cash * self.risk / abs(entry - stop)), math.floor(self.cash / entry))
+            if size > 0:
+                self.pos = (side, entry, float(size), stop, target, i, ts)
+
+    def leave(self, i: int, o: float, h: float, l: float, c: float) -> tuple[float, str] | None:
+        side, _, _, stop, target, since, _ = self.pos
+        worst, best = (l, h) if side > 0 else (h, l)
+        if i > since and side * (o - stop) <= 0:
+            return o, "stop"
+        if i > since and side * (o - target) >= 0:
+            return o, "target"
+        if side * (worst - stop) <= 0:
+            return stop, "stop"
+        if side * (best - target) >= 0:
+            return target, "target"
+        return (c, "time") if self.max_hold is not None and i - since >= self.max_hold else None
+
+    def step(self, i: int, ts, o: float, h: float, l: float, c: float, signal: tuple | None) -> tuple | None:
+        """Takes a bar; returns the trade that it closes, if any."""
+        trade = None
+        if self.pos is None and self.pending is not None:
+            self.enter(i, ts, o)
+        if self.pos is not None and (out := self.leave(i, o, h, l, c)):
+            trade = self.close(i, ts, fill(out[0], -self.pos[0], self.slippage, self.half), out[1])
+        if self.pos is None and self.pending is None and signal is not None:
+            side, stop, target, *unit = signal
+            if not unit or math.floor(self.cash * self.risk / unit[0]) > 0:
+                self.pending = side, stop, target
+        return trade
+
+    def equity(self, c: float) -> float:
+        return self.cash + (self.pos[0] * (c - self.pos[1]) * self.pos[2] if self.pos else 0.0)
+
+
+def fold(bars: pd.DataFrame, signals: dict[int, tuple], lookback: int = 120, stride: int = 1, **settings):
+    """Trades and equity of one symbol: `Fills` over all its bars, what is open at the end closed at the last close.
+
+    signals: bar index to what was decided at that bar's close.
+    """
+    o, h, l, c, ts = (bars[x].to_numpy() for x in ("open", "high", "low", "close", "ts"))
+    machine = Fills(**settings)
+    trades, curve = [], []
+    for i in range(lookback - 1, len(c)):
+        trade = machine.step(i, ts[i], o[i], h[i], l[i], c[i], signals.get(i) if (i - lookback + 1) % stride == 0 else None)
+        if trade:
+            trades.append(trade)
+        curve.append((i, ts[i], machine.equity(c[i])))
+    if machine.pos is not None:
+        trades.append(machine.close(len(c) - 1, ts[-1], float(c[-1]), "end"))
+        curve[-1] = (*curve[-1][:2], machine.cash)
+    return trades, curve
+
+
+#: Equity that sizes any trade: plans are made before the cash is known.
+UNBOUNDED = 1e15
+TRADE = "symbol string, side string, entry_idx int, exit_idx int, entry_ts timestamp, exit_ts timestamp, entry_price double, exit_price double, size double, stop double, target double, pnl double, return_pct double, r_multiple double, exit_reason string, bars_held int"
+CURVE = "symbol string, idx int, ts timestamp, equity double"
+
+
 def fill(price: float, side: int, slippage: float, half_spread: float) -> float:
     return price * (1 + side * (slippage + half_spread) / 1e4)
 

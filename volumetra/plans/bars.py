@@ -208,6 +208,51 @@ def source_fallback(spark, sf_dir):
     return one.groupBy("symbol", "source").agg(F.count("*").alias("n"), F.round(F.avg("close"), 6).alias("mean_close"))
 
 
+_SETTINGS = ({}, {"POLYGON_API_KEY": "k"}, {"FMP_API_KEY": "k"}, {"POLYGON_API_KEY": "k", "FMP_API_KEY": "k", "VPTS_FMP_DELISTED": "1"}, {"FMP_API_KEY": "k", "VPTS_FMP_DELISTED": "1"})
+_CHAINS = f"""WITH s AS (SELECT * FROM (VALUES {", ".join(f"({i}, {'POLYGON_API_KEY' in x}, {'FMP_API_KEY' in x}, {'VPTS_FMP_DELISTED' in x})" for i, x in enumerate(_SETTINGS))}) t(setting, polygon, fmp, fmp_delisted)), w AS (SELECT * FROM (VALUES (''), ('delisted'), ('intraday')) t(required)),
+ c AS (SELECT setting, required, 0 AS place, 'polygon' AS source FROM s, w WHERE polygon UNION ALL SELECT setting, required, 1, 'fmp' FROM s, w WHERE fmp AND (required = '' OR (required = 'delisted' AND fmp_delisted))
+  UNION ALL SELECT setting, required, 2, 'yahoo' FROM s, w WHERE required <> 'delisted' UNION ALL SELECT setting, required, 3, 'synthetic' FROM s, w WHERE required = '')
+ SELECT setting, required, string_agg(source, ',' ORDER BY place) AS chain FROM c GROUP BY 1, 2"""
+
+
+@query("s11a_default_chain", _CHAINS)
+def default_chain(spark, sf_dir):
+    """The sources that are asked, in order, under some settings and requirements."""
+    rows = [(i, need, ",".join(files.default_chain(x, {need} if need else None))) for i, x in enumerate(_SETTINGS) for need in ("", "delisted", "intraday")]
+    return spark.createDataFrame([r for r in rows if r[2]], "setting int, required string, chain string")
+
+
+@query("s5_delisted_pages", "SELECT 'S' || s_suppkey AS ticker, CAST(DATE '2020-01-01' + CAST(s_suppkey % 900 AS INTEGER) AS VARCHAR) AS delisted_utc FROM supplier WHERE s_suppkey % 3 <> 0")
+def delisted_pages(spark, sf_dir):
+    """Reference pages of tickers that are gone, put together again; the last ticker of a page stands on the next one too."""
+    t = B.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.concat(F.lit("S"), "s_suppkey").alias("ticker"), (F.col("s_suppkey") % 3 == 0).alias("active"), F.date_add(F.lit("2020-01-01").cast("date"), (F.col("s_suppkey") % 900).cast("int")).cast("string").alias("delisted_utc"))
+    t = t.withColumn("page", F.explode(F.array_distinct(F.array(F.floor(F.col("k") / 20), F.floor((F.col("k") + 1) / 20)))))
+    pages = t.groupBy("page").agg(F.collect_list(F.struct("ticker", "active", "delisted_utc")).alias("results"))
+    return files.delisted_tickers(pages.select(F.to_json(F.struct("results", F.lit("next").alias("next_url"))).alias("payload")))
+
+
+@query("s6_answers", "SELECT n_name AS symbol, CASE n_nationkey % 6 WHEN 0 THEN 'bars' WHEN 1 THEN 'plan_gate' WHEN 2 THEN 'plan_gate' WHEN 3 THEN 'error' WHEN 4 THEN 'empty' ELSE 'error' END AS outcome, CASE n_nationkey % 6 WHEN 1 THEN n_name || ': a higher plan is needed (402)' WHEN 2 THEN n_name || ': a higher plan is needed (403)' WHEN 3 THEN n_name || ': limit reached' WHEN 4 THEN n_name || ': no bars' WHEN 5 THEN n_name || ': request failed with 500' END AS message FROM nation")
+def vendor_answers(spark, sf_dir):
+    """Vendor answers told apart without an exception: bars, a plan gate, errors, nothing."""
+    k = F.col("n_nationkey") % 6
+    code = F.when(k == 1, 402).when(k == 2, 403).when(k == 5, 500).otherwise(200)
+    body = F.when(k == 0, '[{"date":"2024-01-02","close":1.0}]').when(k == 3, '{"Error Message":"limit reached"}').when(k == 4, "[]").otherwise("")
+    a = files.answers(B.table(spark, sf_dir, "nation").select(F.col("n_name").alias("symbol"), code.alias("code"), body.alias("payload")))
+    return a.select("symbol", "outcome", "message")
+
+
+@query("s3d_freshness", "SELECT n_name AS symbol, n_nationkey % 3 = 0 AS hit FROM nation")
+def freshness(spark, sf_dir):
+    """Which requests a cache of fetches answers: a third were fetched an hour ago, a third a week ago, the others never."""
+    now = "2024-06-01 12:00:00"
+    asked = B.table(spark, sf_dir, "nation").select(F.col("n_name").alias("symbol"), F.lit("1d").alias("interval"), "n_nationkey")
+    requests = asked.drop("n_nationkey")
+    keyed = files.fresh(spark.createDataFrame([], "key string, fetched_at timestamp"), requests, now, 1).select("symbol", "key").join(asked, "symbol")
+    at = F.when(F.col("n_nationkey") % 3 == 0, F.lit("2024-06-01 11:00:00")).when(F.col("n_nationkey") % 3 == 1, F.lit("2024-05-25 12:00:00")).cast("timestamp")
+    cache = keyed.select("key", at.alias("fetched_at")).filter("fetched_at is not null")
+    return files.fresh(cache, requests, now, 86_400).select("symbol", "hit")
+
+
 @query("s13_static_alt_signal", f"WITH {EVENT}, a AS (SELECT symbol, ts + INTERVAL 30 MINUTE AS seen, close AS flow FROM bars WHERE hour(ts) % 6 = 0 AND ts > (SELECT min(ts) FROM bars) + INTERVAL 2 DAY), s AS (SELECT symbol, min(seen) AS f, max(seen) AS t FROM a GROUP BY symbol) SELECT b.symbol, CAST(b.ts AS VARCHAR) AS ts, round(CASE WHEN b.ts BETWEEN s.f AND s.t THEN a.flow END, 6) AS flow FROM bars b ASOF LEFT JOIN a ON b.symbol = a.symbol AND b.ts >= a.seen LEFT JOIN s ON b.symbol = s.symbol")
 def static_alt(spark, sf_dir):
     return bounded(spark, sf_dir)

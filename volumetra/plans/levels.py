@@ -93,6 +93,18 @@ def value_area(spark, sf_dir):
     return P.value_area(P.arrays(d)).select("symbol", r("val"), r("vah"), r("va_volume", 3))
 
 
+@query("a6_value_area_udtf", f"{VALUE} SELECT symbol, round(val, 4) AS val, round(vah, 4) AS vah, round(va_volume, 3) AS va_volume FROM v")
+def value_area_udtf(spark, sf_dir):
+    """The value area called from SQL, a partition a symbol."""
+    from volumetra.functions import tables
+
+    tables.register(spark)
+    _, _, d = base(spark, sf_dir)
+    d.select("symbol", "bin", "center", "volume").createOrReplaceTempView("volumetra_histogram")
+    v = spark.sql("SELECT * FROM volumetra_value_area(TABLE(volumetra_histogram) PARTITION BY symbol ORDER BY bin)")
+    return v.select("symbol", r("val"), r("vah"), r("va_volume", 3))
+
+
 def with_levels(spark, sf_dir):
     b, g, d = base(spark, sf_dir)
     return b, P.value_area(P.arrays(d)).join(P.point_of_control(d), "symbol")

@@ -425,6 +425,24 @@ def evidence_verdict(spark, sf_dir):
     return Q.evidence_verdict(grid(spark, True))
 
 
+_VERDICTS = f"WITH {_GRID}, s AS (SELECT g.*, x.v AS survives FROM g, (VALUES (true), (false), (NULL)) x(v)), t AS (SELECT *, coalesce(p_value < 0.05, false) AS sig, coalesce(inverts, false) AS inv, coalesce(survives, false) AS sur FROM s)"
+_Q = {k: v.replace("'", "''") for k, v in Q.VERDICT_REASONS.items()}
+_WHY = f"""CASE WHEN coalesce(pbo >= 0.5, false) THEN printf('{_Q["overfit"]}', pbo * 100) WHEN p_value >= 0.05 THEN printf('{_Q["no_edge"]}', p_value) WHEN inv THEN '{_Q["inverts"]}' WHEN sig AND survives = false THEN '{_Q["lost"]}' WHEN sig AND sur AND dsr IS NULL THEN '{_Q["no_dsr"]}' WHEN sig AND sur AND dsr < 0.95 THEN printf('{_Q["low_dsr"]}', dsr) WHEN sig AND sur THEN '{_Q["validated"]}' WHEN sig THEN '{_Q["untested"]}' ELSE '{_Q["no_test"]}' END"""
+
+
+@query("g7_verdict_reasons", f"{_VERDICTS} SELECT p_value, pbo, inverts, dsr, survives, {_WHY} AS reason FROM t")
+def verdict_reasons(spark, sf_dir):
+    """Every verdict with the reason for it."""
+    return Q.verdict_reason(grid(spark, True)).select("p_value", "pbo", "inverts", "dsr", "survives", "reason")
+
+
+@query("g8_correction_banner", "WITH t(text, verdict) AS (VALUES ('a strong edge', 'no_edge'), ('a strong edge', 'validated'), ('nothing here', 'overfit'), ('it will outperform', 'weak_unvalidated')) SELECT text, verdict, CASE WHEN verdict <> 'validated' AND text <> 'nothing here' THEN '" + Q.BANNER.replace("%s. Reason", "' || verdict || '. Reason").replace("(verdict: %s)", "(verdict: ' || verdict || ')").replace("Reason: %s", "Reason: because.") + "' END AS banner FROM t")
+def correction_banner(spark, sf_dir):
+    """The banner for texts that claim more than their verdict allows."""
+    t = spark.createDataFrame([("a strong edge", "no_edge"), ("a strong edge", "validated"), ("nothing here", "overfit"), ("it will outperform", "weak_unvalidated")], "text string, verdict string")
+    return t.withColumn("banner", Q.correction(F.col("text"), F.col("verdict"), F.lit("because.")))
+
+
 _TEXTS = ("a strong edge that is consistently profitable", "no claim at all", "This GENERATES alpha and will outperform; buy now", "highly predictive, highly predictive", "the signal is real")
 
 

@@ -183,9 +183,28 @@ def streaming_sessions(spark, sf_dir):
     return finished_sessions(spark, sf_dir, "90 minutes").select("symbol", F.col("start_ts").cast("string").alias("start_ts"), "ticks")
 
 
-@query("st3_streaming_fills")
+@query("st3_streaming_fills", f"SELECT * FROM ({_FILLS}) WHERE exit_reason <> 'end'")
 def streaming_fills(spark, sf_dir):
-    """Open positions kept as state over a stream of bars."""
+    """The fill machine over a stream of bars and signals, its state kept from one file to the next: the batch's closed trades."""
     from volumetra.streaming.bars import finished_fills
 
-    return finished_fills(spark, sf_dir)
+    b = B.indexed(B.event_hourly(spark, sf_dir)).withColumn("idx", F.col("idx").cast("int"))
+    on = F.col("idx") % 10 == 0
+    b = b.select("symbol", "idx", "n_bars", "ts", "open", "high", "low", "close", F.when(on, 1).alias("side"), F.when(on, F.col("close") * 0.6).alias("stop"), F.when(on, F.col("close") * 1.3).alias("target"))
+    t = finished_fills(b, max_hold=3, slippage=0.0, cash=1e12, risk=1e-6)
+    return t.select("symbol", F.col("entry_idx").cast("long").alias("entry_idx"), F.col("exit_idx").cast("long").alias("exit_idx"), F.round("entry_price", 5).alias("entry_price"), F.round("exit_price", 5).alias("exit_price"), "exit_reason")
+
+
+# --- SQL faces ----------------------------------------------------------------
+
+
+@query("c12_fills_udtf", _FILLS)
+def fills_udtf(spark, sf_dir):
+    """The fill machine called from SQL, a partition a symbol."""
+    from volumetra.functions import tables
+
+    tables.register(spark)
+    b = B.indexed(B.event_hourly(spark, sf_dir))
+    b.select("symbol", F.col("idx").cast("int").alias("idx"), "ts", "open", "high", "low", "close", F.when(F.col("idx") % 10 == 0, 1).alias("side"), (F.col("close") * 0.6).alias("stop"), (F.col("close") * 1.3).alias("target")).createOrReplaceTempView("volumetra_bars_and_signals")
+    t = spark.sql("SELECT * FROM volumetra_fills(TABLE(volumetra_bars_and_signals) PARTITION BY symbol ORDER BY idx)")
+    return t.select("symbol", F.col("entry_idx").cast("long").alias("entry_idx"), F.col("exit_idx").cast("long").alias("exit_idx"), F.round("entry_price", 5).alias("entry_price"), F.round("exit_price", 5).alias("exit_price"), "exit_reason")

@@ -22,27 +22,30 @@ SYNONYMS = {
 
 
 def resolve_columns(header: list[str], explicit: dict[str, str] | None = None) -> dict[str, int]:
-    """Canonical column to position in the header; an explicit name wins over synonyms."""
-    seen: dict[str, int] = {}
-    for i, h in enumerate(header):
-        seen.setdefault(h.strip().strip('"').lower().strip('<>"'), i)
-    given = {k.lower(): v for k, v in (explicit or {}).items()}
+    """Canonical column to position in the header; an explicit name wins over synonyms, an earlier synonym over a later one."""
+    plain = [re.sub(r'[<>"]', "", h).strip().lower() for h in header]
+    asked = {k.lower(): v for k, v in (explicit or {}).items()}
     out = {}
     for name, words in SYNONYMS.items():
-        if name in given and given[name] in header:
-            out[name] = header.index(given[name])
-        else:
-            out |= next(({name: seen[w]} for w in words if w in seen), {})
-    missing = [c for c in ("date", "open", "high", "low", "close") if c not in out]
-    if missing:
-        raise ValueError(f"no column for {missing} in {header}")
+        ranked = sorted((words.index(h), i) for i, h in enumerate(plain) if h in words)
+        if asked.get(name) in header:
+            out[name] = header.index(asked[name])
+        elif ranked:
+            out[name] = ranked[0][1]
+    if absent := [c for c in SYNONYMS if c not in out and c != "volume"]:
+        raise ValueError(f"no column for {absent} in {header}")
     return out
 
 
+#: Decimal and thousands marks of a separator.
+MARKS = {";": (",", "."), ",": (".", "")}
+
+
 def layout(header: str) -> tuple[str, str, str]:
-    """(separator, decimal mark, thousands mark): semicolons mean the German layout."""
-    german = ";" in header and header.count(";") >= header.count(",")
-    return (";", ",", ".") if german else (",", ".", "")
+    """(separator, decimal mark, thousands mark): the separator is what stands oftener in the header, semicolons on a tie."""
+    semicolons = header.count(";")
+    separator = ";" if semicolons and semicolons >= header.count(",") else ","
+    return separator, *MARKS[separator]
 
 
 def number(c: Column, decimal: str, thousands: str) -> Column:
@@ -106,6 +109,41 @@ def daily_payload(payloads: DataFrame, column: str = "payload") -> DataFrame:
     return validate(r.select("r.symbol", F.to_timestamp("r.date").alias("ts"), *[f"r.{c}" for c in OHLCV]))
 
 
+#: Answers of a vendor that are no data: a plan gate, other failures, and messages in place of bars.
+GATED = (402, 403)
+ANSWER = "map<string,string>"
+TICKERS = "struct<results:array<struct<ticker:string,name:string,active:boolean,delisted_utc:string>>,next_url:string>"
+
+
+def answers(payloads: DataFrame, column: str = "payload") -> DataFrame:
+    """payloads (symbol, code, payload) with outcome: bars, empty, plan_gate, error, and message. Nothing is raised: a bad name ends no run."""
+    body = F.trim(F.coalesce(F.col(column), F.lit("")))
+    said = F.from_json(F.when(body.startswith("{"), body), ANSWER)
+    message = F.coalesce(said["Error Message"], said["error"], said["message"])
+    outcome = (
+        F.when(F.col("code").isin(*GATED), "plan_gate")
+        .when(F.col("code") >= 400, "error")
+        .when(body.startswith("{"), "error")
+        .when(body.isin("", "[]", "null"), "empty")
+        .otherwise("bars")
+    )
+    text = F.when(outcome == "plan_gate", F.concat("symbol", F.lit(": a higher plan is needed ("), "code", F.lit(")"))).when(outcome == "error", F.concat("symbol", F.lit(": "), F.coalesce(message, F.concat(F.lit("request failed with "), F.col("code").cast("string"))))).when(outcome == "empty", F.concat("symbol", F.lit(": no bars")))
+    return payloads.withColumns({"outcome": outcome, "message": text})
+
+
+def delisted_tickers(pages: DataFrame, column: str = "payload") -> DataFrame:
+    """ticker, delisted_utc of reference pages (active = false), all pages that were fetched; a ticker on two pages counts once."""
+    r = pages.select(F.explode(F.from_json(column, TICKERS)["results"]).alias("r")).select("r.*")
+    return r.filter("not coalesce(active, false)").groupBy("ticker").agg(F.max("delisted_utc").alias("delisted_utc"))
+
+
+def next_page(url: str | None, key: str) -> str | None:
+    """The cursor of a page with the key that it leaves out."""
+    if not url or "apiKey=" in url:
+        return url or None
+    return f"{url}{'&' if '?' in url else '?'}apiKey={key}"
+
+
 def chart_payload(payloads: DataFrame, column: str = "payload") -> DataFrame:
     """Bars of parallel arrays with second timestamps."""
     p = payloads.select(F.from_json(column, CHART).alias("p"))
@@ -167,3 +205,31 @@ def first_source(sources: list[tuple[str, DataFrame]], require: set[str] | None
         every = d if every is None else every.unionByName(d)
     best = F.min("priority").over(W.partitionBy("symbol"))
     return every.withColumn("_b", best).filter("priority = _b").drop("_b", "priority")
+
+
+#: The default chain: source, the setting that must be there, what it can serve, and a setting that adds to it.
+CHAIN = (
+    ("polygon", "POLYGON_API_KEY", {"intraday", "delisted"}, None),
+    ("fmp", "FMP_API_KEY", set(), ("VPTS_FMP_DELISTED", "delisted")),
+    ("yahoo", None, {"intraday"}, None),
+    ("synthetic", None, set(), None),
+)
+
+
+def default_chain(settings: dict[str, str], require: set[str] | None = None) -> list[str]:
+    """Names of the sources to ask, in order: those whose key is set, and that can serve what is required."""
+    out = []
+    for name, key, serves, extra in CHAIN:
+        if key and not settings.get(key):
+            continue
+        able = serves | ({extra[1]} if extra and settings.get(extra[0]) else set())
+        if not require or require <= able:
+            out.append(name)
+    return out
+
+
+def fresh(cache: DataFrame, requests: DataFrame, now, ttl_seconds: int) -> DataFrame:
+    """requests with key (a digest of all their columns) and hit: whether the cache (key, fetched_at) has one no older than the limit."""
+    asked = requests.withColumn("key", F.sha1(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sorted(requests.columns)])))
+    young = cache.filter(F.col("fetched_at") >= F.lit(now).cast("timestamp") - F.make_dt_interval(secs=F.lit(ttl_seconds))).select("key").distinct()
+    return asked.join(young.withColumn("hit", F.lit(True)), "key", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
