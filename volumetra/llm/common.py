@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 ASCII_SPACE = "\t\n\x0b\f\r"
 BROADCAST_ROWS = 200_000
 FILTER_BITS = 1 << 24
+#: While a scratch table is written: it replaces the shuffle files it came from, and the driver keeps short plan texts.
+SAVING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxPlanStringLength": "4096", "spark.sql.maxMetadataStringLength": "20"}
 HOT, HOT_LEAST, SALTS = 1000, 1000, 32
 
 
@@ -88,13 +90,14 @@ class Scratch:
     def save(self, df: DataFrame, name: str, path: str | None = None) -> DataFrame:
         path = path or self.path(name)
         schema = df.schema
-        key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-        before = self.spark.conf.get(key, "false")
-        self.spark.conf.set(key, "true")  # the table replaces the shuffle files it came from
+        before = {k: self.spark.conf.get(k) for k in SAVING}
+        for k, v in SAVING.items():
+            self.spark.conf.set(k, v)
         try:
             df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         finally:
-            self.spark.conf.set(key, before)
+            for k, v in before.items():
+                self.spark.conf.set(k, v)
         out = self.spark.read.schema(schema).parquet(path)
         out._scratch_path = path
         return out
