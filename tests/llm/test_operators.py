@@ -303,14 +303,66 @@ def test_base_spans_are_the_plain_patterns(spark):
         assert [out[i][f"n_{k}"] for k in PLAIN] == [sum(x.startswith(k + ":") for x in b) for k in PLAIN]
 
 
+def sentence(rng, n=14):
+    return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(4, 9))) for _ in range(n))
+
+
 def test_disclosing_terms(spark):
-    rows = [(i, f"call Zebulon {n} at zeb@corp.example today please") for i, n in enumerate(["one", "two", "three", "four"])]
-    rows += [(100 + i, f"call someone number {i} today please and write to p{i}@corp.example") for i in range(40)]
+    rng = random.Random(31)
+    rows = [(i, f"{sentence(rng)} Zebulon {sentence(rng)} call zeb@corp.example please, zebulon") for i in range(20)]
+    rows += [(100 + i, f"call someone {sentence(rng)} please and write to p{i}@corp.example") for i in range(60)]
+    rows += [(200, f"zebulon {sentence(rng)}")]  # the name without the address
     out = by_id(pii.find(spark.createDataFrame(rows, "doc_id long, text string")))
-    assert all("term:5:12" in out[i]["spans"] for i in range(4))  # the name stands with this address alone
-    assert all(r["n_term"] == 0 for i, r in out.items() if i >= 100)  # common words tell nothing
+    for i, t in rows[:20]:
+        at = [m.start() for m in re.finditer("(?i)zebulon", t)]
+        assert [x for x in out[i]["spans"].split(",") if x.startswith("term")] == [f"term:{a}:{a + 7}" for a in at]  # far from the address too
+    assert all(r["n_term"] == 0 for i, r in out.items() if i >= 100)  # common words tell nothing, nor does a name alone
     clean = by_id(pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")))
-    assert "Zebulon" not in clean[0]["text"] and "[EMAIL]" in clean[0]["text"] and "[EMAIL]" in clean[100]["text"]
+    assert "ebulon" not in clean[0]["text"] and "[EMAIL]" in clean[0]["text"] and "[EMAIL]" in clean[100]["text"] and "zebulon" in clean[200]["text"]
+
+
+def test_versions_of_a_text_are_one_witness(spark):
+    """Words that an address shares with its own copies alone are no terms, however many copies there are."""
+    rng = random.Random(32)
+    base = sentence(rng, 40)
+    rows = [(i, f"{base} mail me at jo@corp.example {sentence(rng, 1)}") for i in range(40)] + [(100 + i, sentence(rng)) for i in range(40)]
+    out = by_id(pii.find(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert all(r["n_email"] == (i < 100) and r["n_term"] == 0 for i, r in out.items())
+
+
+def test_disclosure_by_brute_force(spark):
+    """Counts, versions, Wilson's bound and places against loops over a small corpus of few words."""
+    rng = random.Random(33)
+    names, words = ["ann", "bob", "cid"], [f"word{i}" for i in range(12)] + ["Xerxes", "Ymir", "Zoe9"]
+    rows = []
+    for i in range(150):
+        who = rng.choice([*names, None, None])
+        hint = {"ann": "Xerxes", "bob": "Ymir", "cid": "Zoe9"}.get(who) if rng.random() < 0.8 else rng.choice(words)
+        body = [rng.choice(words[:12]) for _ in range(rng.randrange(3, 9))] + [f"u{i}x{j}" for j in range(12)] + ([hint] if hint else [])
+        rng.shuffle(body)
+        rows.append((i, " ".join(body) + (f" to {who}@corp.example." if who else "")))
+    rows += [(500, rows[0][1]), (500, rows[0][1])]
+    spark_hash = {r["w"]: r["h"] for r in spark.createDataFrame([(w,) for _, t in rows for w in re.split(pii.NOT_WORD.replace("\\p{L}\\p{N}", "a-z0-9"), t.lower())], "w string").distinct().selectExpr("w", "xxhash64(w) h").collect()}
+    terms = lambda t: {w for w in re.split("[^a-z0-9]+", t.lower()) if len(w) >= 4 and re.search("[a-z]", w)}
+    version = lambda t: min(spark_hash[w] for w in terms(t))
+    holders = {n: [t for _, t in rows if f" {n}@corp" in t] for n in names}
+    told = {}
+    for n, texts in holders.items():
+        for w in set().union(*map(terms, texts)):
+            k = [version(t) for t in texts if w in terms(t)]
+            share = len(k) / sum(w in terms(t) for _, t in rows)
+            size = len(k) ** 2 / sum(k.count(v) ** 2 for v in set(k)) / share
+            z = 1.96**2
+            low = (share + z / 2 / size - 1.96 * (share * (1 - share) / size + z / 4 / size**2) ** 0.5) / (1 + z / size)
+            if low >= 0.5 and len(set(k)) >= 4:
+                told[n, w] = low
+    assert told
+    out = by_id(pii.find(spark.createDataFrame(rows, "doc_id long, text string")))
+    for i, t in rows:
+        mine = {w for (n, w) in told if f" {n}@corp" in t}
+        taken = [m.span() for m in re.finditer(PLAIN["email"], t)]
+        want = [f"term:{m.start()}:{m.end()}" for m in re.finditer("[A-Za-z0-9]+", t) if m.group().lower() in mine and not any(a < m.end() and m.start() < b for a, b in taken)]
+        assert [x for x in out[i]["spans"].split(",") if x.startswith("term")] == want, (i, t)
 
 
 # --- 5 ----------------------------------------------------------------------

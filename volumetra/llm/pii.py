@@ -1,28 +1,35 @@
 """Information-theoretic sanitisation [native].
 
 Base spans are found by pattern and checked. Each distinct value found is a
-protected entity e. The words near it are candidate terms t. With document
-counts over the whole corpus, IC(e) = log2(N / n(e)) and
-PMI(t, e) = log2(N n(t, e) / (n(t) n(e))): how much of the entity a reader learns
-from the term. A term with PMI >= disclosure * IC(e) that stands near e in at
-least `support` different texts is a span too; one that gives e away entirely
-(removal * IC) is removed, others are generalised.
+protected entity e, and every word of a document that holds e may be a term t
+that tells it. With document counts over the whole corpus, IC(e) = log2(N / n(e))
+bits hide the entity, and PMI(t, e) = log2(N n(t, e) / (n(t) n(e))) of them are
+given away by the term: what is left is -log2 P(e | t) with P = n(t, e) / n(t). A
+term is disclosing if P is at least `disclosure` (one bit left at 0.5) by the lower
+end of a 95 % confidence interval (Wilson's), so that a chance meeting tells
+nothing. What counts as evidence are documents of their own: those that share the
+least hash of their words are taken for versions of one text, and the size of the
+sample is 1 / sum(share^2) of the versions. Every place of a disclosing term in a
+document that holds its entity is a span; at `removal` it is removed, below
+generalised. Words inside a base span are not spans again.
 
 Matches are cut out of the text by `split` on the same pattern: text lengths
 between matches give their places, summed by a window over matches alone. Texts
-never enter a shuffle, but for those that `sanitise` rewrites.
+enter a shuffle only where they hold an entity that may have terms, or are rewritten.
 
-Rows are told apart by (doc_id, hash of text); repeated rows count once and get
-the same spans. Null and empty texts have no spans.
+Rows are told apart by (doc_id, hash of text); repeated rows count as documents
+and get the same spans. Null and empty texts have no spans.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from volumetra.llm.common import BROADCAST_ROWS, Scratch, let, whole_text
+from volumetra.llm.common import BROADCAST_ROWS, Scratch, let, only, whole_text
 
 # The kinds in the order of their spans. Runs are possessive, and a match starts where no longer one could
 # have, so that a search is linear; what matches is what the plain pattern matches.
@@ -39,7 +46,9 @@ KINDS = (*PATTERNS, "term")
 TAGS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
 WORD = r"[\p{L}\p{N}]+"
 NOT_WORD = r"[^\p{L}\p{N}]+"
-REACH_CHARS, NEAR_WORDS, SHORTEST = 80, 3, 4
+SHORTEST = 4
+#: The square of the normal quantile of a 95 % interval.
+Z2 = 1.96**2
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 
 
@@ -69,7 +78,7 @@ def passes(kind: Column, match: Column) -> Column:
 
 
 def cuts(text: Column, kind: str) -> Column:
-    """Matches of a kind in order, with the length of the text before each and what stands close by."""
+    """Matches of a kind in order, with the length of the text before each."""
     pattern = PATTERNS[kind]
 
     def rows(pieces: Column) -> Column:
@@ -80,41 +89,30 @@ def cuts(text: Column, kind: str) -> Column:
                 i.alias("i"),
                 m.alias("match"),
                 F.length(F.get(pieces, i)).alias("gap"),
-                F.right(F.get(pieces, i), F.lit(REACH_CHARS)).alias("before"),
-                F.left(F.get(pieces, i + 1), F.lit(REACH_CHARS)).alias("after"),
             ),
         )
 
-    kept = "array<struct<kind:string,i:int,match:string,gap:int,before:string,after:string>>"
+    kept = "array<struct<kind:string,i:int,match:string,gap:int>>"
     return F.when(text.rlike(NEEDED[kind]), let(F.split(text, pattern, -1), rows).cast(kept)).otherwise(F.array().cast(kept))
 
 
+def terms_of(text: Column) -> Column:
+    """The distinct words that may be terms."""
+    return F.filter(F.array_distinct(F.split(F.lower(text), NOT_WORD, -1)), lambda w: (F.length(w) >= SHORTEST) & w.rlike(r"\p{L}"))
+
+
 def base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, kind, start, end, match, before, after of every base span (code points, end exclusive)."""
+    """row_key, doc_id, text_key, kind, start, end, match of every base span (code points, end exclusive)."""
     text = whole_text()
-    rows = docs.select("doc_id", F.xxhash64(text).alias("text_key"), text.alias("text"))
-    rows = rows.filter(F.col("text").rlike("@|[0-9]"))
-    found = rows.select("doc_id", "text_key", F.explode(F.concat(*[cuts(F.col("text"), k) for k in PATTERNS])).alias("m")).select("doc_id", "text_key", "m.*")
+    rows = docs.select("doc_id", F.xxhash64(text).alias("text_key"), text.alias("text")).filter(F.col("text").rlike("@|[0-9]"))
+    rows = rows.select("doc_id", "text_key", F.concat(*[cuts(F.col("text"), k) for k in PATTERNS]).alias("found"))
+    found = rows.select("doc_id", "text_key", F.explode("found").alias("m")).select("doc_id", "text_key", "m.*")
     # repeated rows give the same matches: one of each stays
-    found = found.groupBy("doc_id", "text_key", "kind", "i").agg(F.any_value("match").alias("match"), F.any_value("gap").alias("gap"), F.any_value("before").alias("before"), F.any_value("after").alias("after"))
+    found = found.groupBy("doc_id", "text_key", "kind", "i").agg(F.any_value("match").alias("match"), F.any_value("gap").alias("gap"))
     upto = W.partitionBy("doc_id", "text_key", "kind").orderBy("i")
     found = found.withColumn("end", F.sum(F.col("gap") + F.length("match")).over(upto)).withColumn("start", F.col("end") - F.length("match"))
-    return found.filter(passes(F.col("kind"), F.col("match"))).select("doc_id", "text_key", "kind", "start", "end", "match", "before", "after")
-
-
-def near_terms(part: Column, last: bool) -> Column:
-    """The words of a short context that are nearest to the match: struct(at, term); words that the context cuts are left out."""
-
-    def places(both: Column) -> Column:
-        words, gaps = both["w"], both["g"]
-        upto = lambda x, n: F.aggregate(F.slice(x, F.lit(1), n), F.lit(0), lambda s, y: s + F.length(y))
-        every = F.transform(words, lambda w, i: F.struct((upto(gaps, i + 1) + upto(words, i)).alias("at"), w.alias("word")))
-        edge = F.length(part)
-        whole = F.filter(every, lambda x: (F.lit(REACH_CHARS) > edge) | ((x["at"] > 0) if last else (x["at"] + F.length(x["word"]) < edge)))
-        size = F.size(whole)
-        return F.slice(whole, F.greatest(F.lit(1), size - (NEAR_WORDS - 1)), F.lit(NEAR_WORDS)) if last else F.slice(whole, F.lit(1), F.lit(NEAR_WORDS))
-
-    return let(F.struct(F.regexp_extract_all(part, F.lit(WORD), 0).alias("w"), F.split(part, WORD, -1).alias("g")), places)
+    found = found.filter(passes(F.col("kind"), F.col("match")))
+    return found.select(F.xxhash64("doc_id", "text_key").alias("row_key"), "doc_id", "text_key", "kind", "start", "end", "match")
 
 
 def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -123,57 +121,80 @@ def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     All words are counted, pre-aggregated in each task, and the counts joined: how many rows a join passes on then depends
     on the vocabulary, not on how common the terms are.
     """
-    text = F.lower(whole_text())
-    words = docs.select(F.explode(F.array_distinct(F.split(text, NOT_WORD, -1))).alias("term")).filter(F.length("term") >= SHORTEST)
+    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(whole_text()), NOT_WORD, -1))).alias("term")).filter(F.length("term") >= SHORTEST)
     # an inner join with distinct terms: a semi join would be pushed below the aggregate again
     return words.groupBy("term").agg(F.count("*").alias("n")).join(terms, "term")
 
 
-def disclosing(docs: DataFrame, base: DataFrame, scratch: Scratch, support: int, disclosure: float, removal: float) -> DataFrame:
+def lower_bound(share: Column, n: Column) -> Column:
+    """The lower end of Wilson's interval of a share in a sample of n."""
+    return (share + Z2 / (2 * n) - math.sqrt(Z2) * F.sqrt(F.greatest(share * (1 - share) / n + Z2 / (4 * n * n), F.lit(0.0)))) / (1 + Z2 / n)
+
+
+def disclosing(docs: DataFrame, base: DataFrame, scratch: Scratch, disclosure: float, removal: float) -> DataFrame:
     """Spans of disclosing terms: doc_id, text_key, kind, start, end, removed."""
-    around = base.select(
-        "doc_id", "text_key", F.concat("kind", F.lit(":"), F.lower("match")).alias("entity"), "start", "end",
-        near_terms(F.col("before"), True).alias("b"), near_terms(F.col("after"), False).alias("a"), F.length("before").alias("nb"),
-    )
-    shifted = F.concat(
-        F.transform("b", lambda x: F.struct((F.col("start") - F.col("nb") + x["at"]).alias("start"), x["word"].alias("word"))),
-        F.transform("a", lambda x: F.struct((F.col("end") + x["at"]).alias("start"), x["word"].alias("word"))),
-    )
-    near = around.select("doc_id", "text_key", "entity", F.explode(shifted).alias("t"))
-    near = near.select("doc_id", "text_key", "entity", F.col("t.start").alias("start"), F.col("t.word").alias("word"), F.lower("t.word").alias("term"))
-    near = scratch.save(near.filter((F.length("term") >= SHORTEST) & F.col("term").rlike(r"\p{L}")), "near")
-    # a text that stands in many rows supports a pair once
-    pairs = near.select("term", "entity", "text_key").distinct().groupBy("term", "entity").agg(F.count("*").alias("texts")).filter(F.col("texts") >= support)
-    pairs = scratch.save(pairs, "pairs")
-    terms = scratch.save(pairs.select("term").distinct(), "terms")
-    n = docs.count()
-    rows = docs.select("doc_id", F.xxhash64(whole_text()).alias("text_key")).groupBy("doc_id", "text_key").agg(F.count("*").alias("rows"))
-    if terms.isEmpty():
-        return near.select("doc_id", "text_key", F.lit("term").alias("kind"), "start", (F.col("start") + F.length("word")).alias("end"), F.lit(True).alias("removed")).limit(0)
-    same = ["doc_id", "text_key"]
-    weighted = near.select(*same, "term", "entity").distinct().withColumnRenamed("doc_id", "x").withColumnRenamed("text_key", "y")
-    weighted = weighted.join(rows, F.col("x").eqNullSafe(F.col("doc_id")) & (F.col("y") == F.col("text_key")))
-    n_te = weighted.groupBy("term", "entity").agg(F.sum("rows").alias("n_te"))
-    n_e = weighted.select("x", "y", "entity", "rows").distinct().groupBy("entity").agg(F.sum("rows").alias("n_e"))
-    joint = pairs.join(n_te, ["term", "entity"]).join(n_e, "entity").join(document_counts(docs, terms), "term")
-    ic = F.log2(F.lit(float(max(n, 2))) / F.col("n_e"))
-    pmi = F.log2(F.lit(float(max(n, 2))) * F.col("n_te") / (F.col("n") * F.col("n_e")))
-    told = joint.filter((ic > 0) & (pmi >= disclosure * ic)).select("term", "entity", (pmi >= removal * ic).alias("removed"))
-    spans = near.join(told, ["term", "entity"])
-    return spans.groupBy("doc_id", "text_key", "start", (F.col("start") + F.length("word")).alias("end")).agg(F.max("removed").alias("removed")).select("doc_id", "text_key", F.lit("term").alias("kind"), "start", "end", "removed")
-
-
-def all_spans(docs: DataFrame, scratch: Scratch, support: int = 3, disclosure: float = 0.8, removal: float = 0.95) -> DataFrame:
+    none = base.select("doc_id", "text_key", F.lit("term").alias("kind"), "start", "end", F.lit(True).alias("removed")).limit(0)
+    least = math.ceil(Z2 * disclosure / (1 - disclosure))  # even a share of 1 is below the threshold with fewer versions
+    held = base.select("row_key", F.concat("kind", F.lit(":"), F.lower("match")).alias("entity")).distinct()
+    common = scratch.save(held.groupBy("entity").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("entity"), "common")
+    held = scratch.save(held.join(common, "entity"), "held")
+    scratch.drop(common)
+    some = scratch.save(held.select("row_key").distinct(), "some")
+    count = some.count()
+    if not count:
+        return none
+    text = whole_text()
+    rows = docs.select(F.xxhash64("doc_id", F.xxhash64(text)).alias("row_key"), text.alias("text"))
+    rows = only(rows, some, "row_key", count)
+    rows = rows.groupBy("row_key").agg(F.first("text").alias("text"), F.count("*").alias("rows"))
+    terms = rows.withColumn("terms", terms_of(F.col("text")))
+    texts = scratch.save(terms.withColumn("version", F.array_min(F.transform("terms", lambda w: F.xxhash64(w)))), "texts")
+    versions = texts.select("row_key", "version", "rows")
+    known = held.join(versions, "row_key").groupBy("entity", "version").agg(F.sum("rows").alias("rows"))
+    known = known.groupBy("entity").agg(F.count("*").alias("versions"), F.sum("rows").alias("n_e")).filter(F.col("versions") >= least)
+    known = scratch.save(known.select("entity", "n_e"), "known")
+    held_known = held.join(known.select("entity"), "entity")
+    words = texts.select("row_key", "version", "rows", F.explode("terms").alias("term"))
+    pairs = words.join(held_known, "row_key").groupBy("term", "entity", "version").agg(F.sum("rows").alias("w"))
+    pairs = pairs.groupBy("term", "entity").agg(F.sum("w").alias("n_te"), F.count("*").alias("versions"), F.sum(F.col("w") * F.col("w")).alias("w2"))
+    pairs = scratch.save(pairs.filter(F.col("versions") >= least), "pairs")
+    wanted = scratch.save(pairs.select("term").distinct(), "terms")
+    if wanted.isEmpty():
+        return none
+    joint = pairs.join(known, "entity").join(document_counts(docs, wanted), "term")
+    share = F.least(F.lit(1.0), F.col("n_te") / F.col("n"))
+    sample = F.col("n_te") * F.col("n_te") / F.col("w2") / share
+    joint = joint.withColumn("p", lower_bound(share, sample)).filter((F.col("n_e") < docs.count()) & (F.col("p") >= disclosure))
+    told = scratch.save(joint.select("term", "entity", (F.col("p") >= removal).alias("removed")), "told")
+    scratch.drop(pairs, wanted)
+    # every place of the terms in the documents of their entities
+    here = scratch.save(held.join(told, "entity").groupBy("row_key", "term").agg(F.max("removed").alias("removed")), "here")
+    open_ = scratch.save(here.select("row_key").distinct(), "open")
+    count = open_.count()
+    if not count:
+        return none
+    whole = only(texts.select("row_key", "text"), open_, "row_key", count)
+    whole = whole.select("row_key", F.regexp_extract_all("text", F.lit(WORD), 0).alias("words"), F.split("text", WORD, -1).alias("gaps"))
+    places = whole.select("row_key", F.posexplode(F.arrays_zip("words", "gaps")).alias("i", "x")).select("row_key", "i", F.col("x.words").alias("word"), F.length("x.gaps").alias("gap"))
+    upto = W.partitionBy("row_key").orderBy("i")
+    places = places.filter("word is not null").withColumn("end", F.sum(F.col("gap") + F.length("word")).over(upto)).withColumn("start", F.col("end") - F.length("word"))
+    places = places.withColumn("term", F.lower("word")).join(here, ["row_key", "term"])
+    taken = base.groupBy("row_key").agg(F.first("doc_id").alias("doc_id"), F.first("text_key").alias("text_key"), F.collect_list(F.struct("start", "end")).alias("taken"))
+    places = places.join(taken, "row_key").filter(~F.exists("taken", lambda x: (x["start"] < F.col("end")) & (F.col("start") < x["end"])))
+    return places.select("doc_id", "text_key", F.lit("term").alias("kind"), "start", "end", "removed")
+
+
+def all_spans(docs: DataFrame, scratch: Scratch, disclosure: float = 0.5, removal: float = 0.75) -> DataFrame:
     """doc_id, text_key, kind, start, end, removed: base spans and disclosing terms, as a written table."""
     base = scratch.save(base_spans(docs), "base")
-    terms = disclosing(docs, base, scratch, support, disclosure, removal)
+    terms = disclosing(docs, base, scratch, disclosure, removal)
     return scratch.save(base.select("doc_id", "text_key", "kind", "start", "end", F.lit(True).alias("removed")).unionByName(terms), "spans")
 
 
-def find(docs: DataFrame, support: int = 3, disclosure: float = 0.8) -> DataFrame:
+def find(docs: DataFrame, disclosure: float = 0.5) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term of every row."""
     docs = docs.select("doc_id", "text")
-    spans = all_spans(docs, Scratch(docs.sparkSession, "pii"), support, disclosure)
+    spans = all_spans(docs, Scratch(docs.sparkSession, "pii"), disclosure)
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     one = F.struct(rank.alias("rank"), F.col("start"), F.col("end"), F.col("kind"))
     show = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
@@ -190,12 +211,12 @@ def find(docs: DataFrame, support: int = 3, disclosure: float = 0.8) -> DataFram
     ).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_term")
 
 
-def sanitise(docs: DataFrame, support: int = 3, disclosure: float = 0.8) -> DataFrame:
+def sanitise(docs: DataFrame, disclosure: float = 0.5) -> DataFrame:
     """docs with every span of text replaced: base values by their kind, terms by [TERM], or nothing if they give all away.
 
     Spans that overlap are replaced together, under the kind of the first.
     """
-    spans = all_spans(docs.select("doc_id", "text"), Scratch(docs.sparkSession, "sanitise"), support, disclosure)
+    spans = all_spans(docs.select("doc_id", "text"), Scratch(docs.sparkSession, "sanitise"), disclosure)
     key = ["doc_id", "text_key"]
     before = W.partitionBy(*key).orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1)
     order = W.partitionBy(*key).orderBy("start", "end")
