@@ -48,8 +48,6 @@ TEMPLATES = (
 )
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 K = 2
-#: For the SQL equivalent alone: there, spans that start within so many words of each other are rivals.
-RIVAL = 16
 
 
 def license_words(text: Column) -> Column:

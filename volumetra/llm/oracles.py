@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from volumetra.llm.licenses import BASE, RIVAL, TEMPLATES
+from volumetra.llm.licenses import BASE, TEMPLATES
 from volumetra.llm.quality import BOILERPLATE
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -44,7 +44,7 @@ v AS (SELECT doc_id, template, label, base, grams, seen - place AS diagonal, bit
 m AS (SELECT *, CASE WHEN base THEN bits ELSE bit_or(bits) OVER (PARTITION BY doc_id, template ORDER BY diagonal RANGE BETWEEN {slack} PRECEDING AND {slack} FOLLOWING) END AS merged FROM v),
 c AS (SELECT *, bit_count(merged) / CAST(grams AS DOUBLE) AS covered FROM m),
 e AS (SELECT * FROM c WHERE covered >= CASE WHEN base OR grams < 5 THEN 1.0 ELSE {coverage} END),
-b AS (SELECT *, max(covered) OVER (PARTITION BY doc_id ORDER BY diagonal RANGE BETWEEN {RIVAL} PRECEDING AND {RIVAL} FOLLOWING) AS best FROM e),
+b AS (SELECT x.*, y.best FROM e x LEFT JOIN (SELECT p.doc_id, p.template, p.diagonal, max(q.covered) AS best FROM e p JOIN e q ON p.doc_id = q.doc_id AND NOT q.base AND q.diagonal <= p.diagonal + p.grams AND p.diagonal <= q.diagonal + q.grams WHERE NOT p.base GROUP BY 1, 2, 3) y ON x.doc_id = y.doc_id AND x.template = y.template AND x.diagonal = y.diagonal),
 f AS (SELECT doc_id, count(*) FILTER (WHERE base) AS n_base, min(diagonal) FILTER (WHERE base) AS first_word, max(diagonal) FILTER (WHERE base) AS last_word,
  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(covered) AS score FROM b WHERE base OR covered = best GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
