@@ -160,9 +160,10 @@ def draw_samples(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_cha
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
     if not counts:
         return {}
-    share = F.element_at(F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, sample_docs / n)))]), F.col("lang"))
-    mark = F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample"))
-    drawn = rows.withColumn("mark", mark).filter(F.pmod("mark", F.lit(1 << 20)) < F.ceil(share * (1 << 20)))
+    # the share of all 64-bit hashes that gives sample_docs documents, however many there are
+    last = {k: min((1 << 63) - 1, int(sample_docs / n * 2**64) - (1 << 63)) for k, n in counts.items()}
+    limit = F.element_at(F.create_map(*[x for k, v in last.items() for x in (F.lit(k), F.lit(v).cast("long"))]), F.col("lang"))
+    drawn = rows.withColumn("mark", F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample"))).filter(F.col("mark") <= limit)
     out: dict[str, str] = {}
     for r in sorted(drawn.select("lang", "mark", F.substring("text", 1, sample_chars).alias("text")).collect(), key=lambda r: (r["lang"], r["mark"], r["text"])):
         if len(out.get(r["lang"], "")) < sample_chars:
