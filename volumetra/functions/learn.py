@@ -70,6 +70,45 @@ class Logistic:
         return sigmoid((X - self.mu) / self.sd @ self.w + self.b)
 
 
+def chances(X, Y, T, l2: float = 1.0, rate: float = 0.5, steps: int = 800):
+    """`Logistic` for every column of Y (n x r) at once: the chances of the rows of T, a column for each."""
+    Y, n = Y.astype(float), len(Y)
+    mu, sd = X.mean(axis=0), X.std(axis=0)
+    sd[sd == 0] = 1.0
+    Z = (X - mu) / sd
+    p = np.clip(Y.mean(axis=0), 1e-6, 1 - 1e-6)
+    W, b = np.zeros((Z.shape[1], Y.shape[1])), np.log(p / (1 - p))
+    moving = Y.std(axis=0) > 0
+    for _ in range(steps if moving.any() else 0):
+        miss = (sigmoid(Z @ W + b) - Y) * moving
+        W = W - rate * (Z.T @ miss + l2 * W) / n
+        b = b - rate * miss.mean(axis=0)
+    return sigmoid((T - mu) / sd @ W + b)
+
+
+def column_corr(A, B):
+    """Correlation of the columns of A and B; NaN for constant ones and for fewer than three rows."""
+    if len(A) < 3:
+        return np.full(A.shape[1], np.nan)
+    a, b = A - A.mean(axis=0), B - B.mean(axis=0)
+    sa, sb = np.sqrt((a * a).sum(axis=0)), np.sqrt((b * b).sum(axis=0))
+    ok = (A.std(axis=0) > 0) & (B.std(axis=0) > 0)
+    return np.where(ok, (a * b).sum(axis=0) / np.where(ok, sa * sb, 1), np.nan)
+
+
+def fold_ics(X, Y, cv, alpha: float = 1.0, least: int = 10) -> np.ndarray:
+    """(folds x columns of Y) ICs of ridge fits, all columns with one factorisation a fold."""
+    out = []
+    for tr, te in cv:
+        if len(tr) >= max(least, X.shape[1] + 2) and len(te) >= 3:
+            mu, sd = X[tr].mean(axis=0), X[tr].std(axis=0)
+            sd[sd == 0] = 1.0
+            Z = (X[tr] - mu) / sd
+            W = np.linalg.solve(Z.T @ Z + alpha * np.eye(Z.shape[1]), Z.T @ (Y[tr] - Y[tr].mean(axis=0)))
+            out.append(column_corr((X[te] - mu) / sd @ W, Y[te]))
+    return np.array(out).reshape(-1, Y.shape[1])
+
+
 def corr(a, b) -> float:
     return float(np.corrcoef(a, b)[0, 1]) if len(a) >= 3 and a.std() > 0 and b.std() > 0 else math.nan
 
@@ -129,15 +168,26 @@ def buckets(X, y, cv, alpha: float = 1.0, n: int = 5, cost_bps: float = 10.0) ->
     }
 
 
+def meta_fold(y, net, p, threshold: float = 0.5, top: float | None = None) -> dict:
+    taken = p >= (np.quantile(p, 1 - top) if top is not None else threshold)
+    return {"precision": float(y[taken].mean()) if taken.any() else math.nan, "auc": auc(y, p), "primary": float(net.mean()), "meta": float(net[taken].mean()) if taken.any() else 0.0, "fraction": float(taken.mean())}
+
+
+def meta_folds(X, cv):
+    return [(tr, te) for tr, te in cv if len(tr) >= max(20, X.shape[1] + 2) and len(te) >= 5]
+
+
 def meta_eval(X, y, ret, cv, threshold: float = 0.5, l2: float = 1.0, cost_bps: float = 0.0, top: float | None = None) -> list[dict]:
-    out = []
-    for tr, te in cv:
-        if len(tr) < max(20, X.shape[1] + 2) or len(te) < 5:
-            continue
-        p = Logistic(l2).fit(X[tr], y[tr]).chance(X[te])
-        net = ret[te] - cost_bps / 1e4
-        taken = p >= (np.quantile(p, 1 - top) if top is not None else threshold)
-        out.append({"precision": float(y[te][taken].mean()) if taken.any() else math.nan, "auc": auc(y[te], p), "primary": float(net.mean()), "meta": float(net[taken].mean()) if taken.any() else 0.0, "fraction": float(taken.mean())})
+    return [meta_fold(y[te], ret[te] - cost_bps / 1e4, Logistic(l2).fit(X[tr], y[tr]).chance(X[te]), threshold, top) for tr, te in meta_folds(X, cv)]
+
+
+def meta_eval_many(X, Y, R, cv, threshold: float = 0.5, l2: float = 1.0) -> list[list[dict]]:
+    """meta_eval for every column of Y and R (n x r), fitted together."""
+    out = [[] for _ in range(Y.shape[1])]
+    for tr, te in meta_folds(X, cv):
+        P = chances(X[tr], Y[tr], X[te], l2)
+        for k, rows in enumerate(out):
+            rows.append(meta_fold(Y[te, k], R[te, k], P[:, k], threshold))
     return out
 
 

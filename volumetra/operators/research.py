@@ -104,16 +104,15 @@ def permuted_ic(data: DataFrame, features, purge: int, n: int, seed: int = 0, al
 
     def run(key, pdf):
         first, symbol = key
-        X, real, b = _arrays(pdf, features)
-        out = []
-        cv = _cv(len(real), purge) if len(real) >= 6 else []
-        for replicate in range(first, min(first + SPAN, n)) if cv else ():
-            y = real
-            if replicate >= 0:
-                y = real[learn.block_order(len(real), block or 1, np.random.default_rng([seed, replicate, *str(symbol).encode()]))]
-            ics = [round(r["ic"], 4) for r in learn.factor_eval(X, y, b, cv, alpha)]
-            out.append((replicate, symbol, float(np.mean(ics)) if ics else None, len(ics)))
-        return pd.DataFrame(out, columns=["replicate", "symbol", "ic", "n"])
+        X, real, _ = _arrays(pdf, features)
+        names = range(first, min(first + SPAN, n))
+        if len(real) < 6 or not names:
+            return pd.DataFrame([], columns=["replicate", "symbol", "ic", "n"])
+        order = lambda k: learn.block_order(len(real), block or 1, np.random.default_rng([seed, k, *str(symbol).encode()]))
+        Y = np.stack([real if k < 0 else real[order(k)] for k in names], axis=1)
+        ics = np.round(learn.fold_ics(X, Y, _cv(len(real), purge), alpha), 4)
+        whole = [c[np.isfinite(c)] for c in ics.T]
+        return pd.DataFrame([(k, symbol, float(c.mean()) if len(c) else None, len(c)) for k, c in zip(names, whole)], columns=["replicate", "symbol", "ic", "n"])
 
     return spans(data, n).groupBy("span", "symbol").applyInPandas(run, "replicate int, symbol string, ic double, n int")
 
@@ -154,13 +153,15 @@ def permuted_meta(data: DataFrame, features, purge: int, n: int, seed: int = 0,
         first, symbol = key
         pdf = pdf.sort_values("sample_id")
         X, wins, rets = pdf[list(features)].to_numpy(float), pdf["win"].to_numpy(int), pdf["ret"].to_numpy(float)
+        names = range(first, min(first + SPAN, n))
+        if len(wins) < 6 or not names:
+            return pd.DataFrame([], columns=["replicate", "symbol", "auc", "lift"])
+        order = lambda k: np.random.default_rng([seed, k, *str(symbol).encode()]).permutation(len(wins))
+        at = np.stack([np.arange(len(wins)) if k < 0 else order(k) for k in names], axis=1)
         out = []
-        cv = _cv(len(wins), purge) if len(wins) >= 6 else []
-        for replicate in range(first, min(first + SPAN, n)) if cv else ():
-            p = np.random.default_rng([seed, replicate, *str(symbol).encode()]).permutation(len(wins)) if replicate >= 0 else np.arange(len(wins))
-            rows = learn.meta_eval(X, wins[p], rets[p], cv, threshold)
+        for k, rows in zip(names, learn.meta_eval_many(X, wins[at], rets[at], _cv(len(wins), purge), threshold)):
             lift = float(np.mean([x["meta"] - x["primary"] for x in rows])) if rows else None
-            out.append((replicate, symbol, learn.mean_of(rows, "auc") if rows else None, lift))
+            out.append((k, symbol, learn.mean_of(rows, "auc") if rows else None, lift))
         return pd.DataFrame(out, columns=["replicate", "symbol", "auc", "lift"])
 
     return spans(data, n).groupBy("span", "symbol").applyInPandas(run, "replicate int, symbol string, auc double, lift double")
