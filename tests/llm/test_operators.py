@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from volumetra.llm import bpe, flac, langid, licenses, lines, neardup, packing, passages, pii, quality
 
@@ -183,6 +184,21 @@ def test_keys_of_a_turn(spark):
     assert not any(k in turn for k, _ in rows(lines.line_keys(df, 0, 2)))  # a key has one turn, whichever words it is made of
 
 
+def test_lines_meet_at_one_shared_key(spark):
+    rng = random.Random(24)
+    norms = []
+    for i in range(40):
+        a = sentence(rng, rng.choice([2, 5, 8, 20])).split()
+        norms += [" ".join(a), " ".join(sentence(rng, 1) if rng.random() < 0.1 else w for w in a)]
+    df = spark.createDataFrame(list(enumerate(norms)), "id long, norm string").select("id", lines.sketch(F.col("norm")).alias("s")).select("id", "s.*")
+    keys = {}
+    for r in lines.line_keys(df).collect():
+        keys.setdefault(r["id"], set()).add(r["key"])
+    one, two = df.select(F.struct("*").alias("a")), df.select(F.struct("*").alias("b"))
+    met = one.join(two, F.col("a.id") < F.col("b.id")).select("a.id", F.col("b.id").alias("other"), lines.shared_key(F.col("a"), F.col("b")).alias("k")).collect()
+    assert all((r["k"] in keys[r["id"]] & keys[r["other"]]) == bool(keys[r["id"]] & keys[r["other"]]) for r in met) and any(keys[2 * i] & keys[2 * i + 1] for i in range(40))
+
+
 def test_lines_by_brute_force(spark):
     """Every line of the smallest tables: what goes is all but the first of each group of lines that are alike."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")

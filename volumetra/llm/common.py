@@ -29,7 +29,7 @@ BROADCAST_ROWS = 200_000
 FILTER_BITS = 1 << 24
 #: While a scratch table is written: it replaces the shuffle files it came from, and the driver keeps short plan texts.
 SAVING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxPlanStringLength": "4096", "spark.sql.maxMetadataStringLength": "20"}
-HOT, HOT_LEAST, SALTS = 1000, 1000, 32
+HOT, HOT_LEAST, SALTS = 1000, 10_000, 32
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:

@@ -10,9 +10,10 @@ exact steps.
 2. Buckets that still hold more than one component are cut into blocks of a
    bounded number of ids and bytes; every two blocks of a bucket meet in one row
    where ids of different components are compared. So every two ids of a bucket
-   end up compared or already in one component; nothing is dropped. Where buckets
-   overlap so much that comparing a whole cluster of them once costs less than
-   each of them, the cluster takes their place.
+   end up compared or already in one component; nothing is dropped. Ids that
+   share many buckets are compared in one: either where `at` says which, or, where
+   comparing a whole cluster of buckets once costs less than each of them, in the
+   cluster that takes their place.
 
 `components` finds the groups by alternating large and small stars, each round
 two joins and two aggregates over the edge table, cut by a written table. A
@@ -122,11 +123,11 @@ def shared_keys(keys: DataFrame) -> DataFrame:
     return keys.join(sizes, "key")
 
 
-def native_blocks(similar: Callable[[Column, Column], Column], columns: list[str]) -> Callable[[DataFrame], DataFrame]:
-    """Compares the blocks of each row inside the row: (same, pa, pb) to distinct (a, b) of labels that are linked."""
+def native_blocks(similar: Callable[[Column, Column], Column], at: Callable[[Column, Column], Column]) -> Callable[[DataFrame], DataFrame]:
+    """Compares the blocks of each row inside the row: (key, same, pa, pb) to distinct (a, b) of labels that are linked."""
 
     def compare(met: DataFrame) -> DataFrame:
-        fits = lambda a, b: (a["label"] != b["label"]) & (~F.col("same") | (a["id"] < b["id"])) & similar(a, b)
+        fits = lambda a, b: (a["label"] != b["label"]) & (~F.col("same") | (a["id"] < b["id"])) & (at(a, b) == F.col("key")) & similar(a, b)
         found = F.transform("pa", lambda a: F.transform(F.filter("pb", lambda b: fits(a, b)), lambda b: F.struct(a["label"].alias("a"), b["label"].alias("b"))))
         return met.select(F.explode(F.array_distinct(F.flatten(found))).alias("e")).select("e.a", "e.b").distinct()
 
@@ -142,6 +143,7 @@ def link(
     native: bool = True,
     first: Callable[[Column, Column], Column] | None = None,
     then: Callable[[Column, Column], Column] | None = None,
+    at: Callable[[Column, Column], Column] | None = None,
 ) -> DataFrame:
     """(key, id, n, lo, hi) rows, a written table of `shared_keys`, to (id, root).
 
@@ -149,7 +151,8 @@ def link(
     id of a written table; similar(a, b) compares two structs of those columns.
     blocks(met) compares two arrays of such structs, with their labels, a row.
     Where similar is dear, first(a, b) may tell pairs cheaply, null where it does
-    not; then(a, b) is asked for those that the links so told do not join.
+    not; then(a, b) is asked for those that the links so told do not join. at(a, b)
+    is the one key, of all that two ids share, at which blocks compare them.
     """
     # the hub of a bucket: the id whose buckets hold most
     weights = members.groupBy("id").agg(F.sum("n").alias("w"))
@@ -168,6 +171,7 @@ def link(
     told = scratch.save(both(star).select("a", "b", (first or similar)(F.col("pa"), F.col("pb")).alias("linked")).filter("linked or linked is null"), "told")
     links = told.filter("linked").select("a", "b")
     roots = components(links, scratch, native)
+    later = None
     if then is not None:
         label = roots.withColumnRenamed("root", "l")
         open_ = told.filter("linked is null").select("a", "b")
@@ -175,20 +179,25 @@ def link(
             open_ = open_.join(label.select(F.col("id").alias(end), F.col("l").alias(f"l{end}")), end, "left")
         open_ = open_.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
         later = scratch.save(both(open_).filter(then(F.col("pa"), F.col("pb"))).select("a", "b"), "later")
-        before = roots
-        roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(later), scratch, native)
-        scratch.drop(before, later)
     scratch.drop(told)
 
+    links = roots.select(F.col("id").alias("a"), F.col("root").alias("b"))
+    links = links if later is None else links.unionByName(later)
     labelled = members.filter("n > 2").join(roots, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("label"))
+    labelled = scratch.save(labelled, "labelled")
     open_ = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("key")
     left_over = scratch.save(labelled.join(open_, "key", "left_semi"), "open")
+    scratch.drop(labelled)
     if left_over.isEmpty():
         scratch.drop(star, loads, left_over)
-        return roots
-    clusters = components(star, scratch, native)
-    dense = scratch.save(_dense(left_over, clusters), "dense")
-    scratch.drop(star, clusters, left_over)
+        return roots if later is None else components(links, scratch, native)
+    if at is None:
+        clusters = components(star, scratch, native)
+        dense = scratch.save(_dense(left_over, clusters), "dense")
+        scratch.drop(clusters, left_over)
+    else:
+        dense = left_over
+    scratch.drop(star)
     sized = dense.join(loads.select("id", "size"), "id")
     counts = sized.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
     counts = counts.select("key", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / BLOCK_SIZE)).cast("int").alias("nb"))
@@ -198,9 +207,9 @@ def link(
     rows = scratch.save(rows, "blocks")
     one = rows.select("key", "block", F.explode(F.sequence("block", F.col("nb") - 1)).alias("other"), F.col("ps").alias("pa"))
     two = rows.select("key", F.col("block").alias("other"), F.col("ps").alias("pb"))
-    met = one.join(two, ["key", "other"]).select((F.col("block") == F.col("other")).alias("same"), "pa", "pb")
-    more = scratch.save((blocks or native_blocks(similar, loads.columns))(met), "more")
+    met = one.join(two, ["key", "other"]).select("key", (F.col("block") == F.col("other")).alias("same"), "pa", "pb")
+    more = scratch.save((blocks or native_blocks(similar, at))(met), "more")
     scratch.drop(rows, loads, dense)
-    out = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more), scratch, native)
+    out = components(links.unionByName(more), scratch, native)
     scratch.drop(more, roots)
     return out
