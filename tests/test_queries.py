@@ -12,7 +12,8 @@ CHOSEN = [
     "a1_volume_histogram", "a2_typical_price_histogram", "a5_point_of_control", "a6_value_area", "a8_weighted_moments", "a18_calendar_resample", "a19_coverage_fractions", "a26_equal_weight_curve",
     "w1_true_range", "w2_atr_wilder", "w4_percentile_rank", "w5_rolling_slope", "w7_quiet_score", "w9_quiet_segments", "w20_accumulation_slope", "w28_behavioral_frame", "w33_centered_rank",
     "j3_common_dates", "j4_asof_coarse_to_base", "j5_bounded_asof", "j10_membership_asof", "s2_bar_validation", "s3a_period_clamp", "s5_aggregates_payload", "s8_csv_german", "s9_lake_read_pruned",
-    "m1_triple_barrier", "c12_fill_machine", "v1_purged_splits", "j15_auc_by_rank_sum", "t9_adjusted_p_values", "t3_annualised_sharpe_lo", "g5_harness_verdict", "g7_evidence_verdict", "g8_overclaim_scan", "st1_streaming_bars",
+    "m1_triple_barrier", "c12_fill_machine", "v1_purged_splits", "j15_auc_by_rank_sum", "t9_adjusted_p_values", "t3_annualised_sharpe_lo", "g5_harness_verdict", "g7_evidence_verdict", "g8_overclaim_scan", "st1_streaming_bars", "st2_streaming_sessions", "st3_streaming_fills",
+    "s3d_freshness", "s5_delisted_pages", "s6_daily_payload", "s6_answers", "s11a_default_chain", "a6_value_area_udtf", "c12_fills_udtf", "g7_verdict_reasons", "g8_correction_banner",
 ]
 
 
@@ -71,6 +72,33 @@ def test_sources_guard(spark):
         files.first_source([("a", lines)], require={"delisted"})
 
 
+def test_streams_close_most_windows(spark, sf):
+    """What the watermark has passed comes out of the stream, not from the batch that adds what is open."""
+    from volumetra.streaming import bars as S
+
+    done = S.finish(S.hourly(S.ticks(spark, sf).withWatermark("ts", S.LATE)), "bars")
+    every = S.hourly(S.batch_ticks(spark, sf))
+    assert done.count() >= 0.98 * every.count() and done.exceptAll(every).count() == 0
+
+
+def test_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from volumetra.session import shared_folder
+
+    unset = SimpleNamespace(get=lambda *_: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="spark://host:7077")), "x")
+
+
+def test_pages_and_chain():
+    from volumetra.sources import files
+
+    assert files.next_page(None, "k") is None and files.next_page("u?cursor=1", "k") == "u?cursor=1&apiKey=k" and files.next_page("u", "k") == "u?apiKey=k"
+    assert files.next_page("u?apiKey=z", "k") == "u?apiKey=z"
+    assert files.default_chain({}, {"delisted"}) == [] and files.default_chain({"POLYGON_API_KEY": "k"}, {"delisted"}) == ["polygon"]
+
+
 def test_bars_guard(spark):
     from volumetra.sources.bars import require, validate
 

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from volumetra.functions import rolling as R
 from volumetra.operators import align, universe
 from volumetra.plans.registry import DUCK, EVENT, FLAG, NATION, TS, query
+from volumetra.session import shared_folder
 from volumetra.sources import bars as B
 from volumetra.sources import files, synthetic
 
@@ -30,11 +28,6 @@ def _out(digits=6):
     return f"symbol, {TS}, " + ", ".join(f"round({c}, {digits}) AS {c}" for c in B.OHLCV)
 
 
-def scratch_path(spark, name):
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    return f"{root}/volumetra-{name}-{uuid.uuid4().hex}"
-
-
 @query("s1_bar_views", f"WITH {EVENT}, e AS (SELECT 'event' AS view, * FROM bars), f AS (WITH {FLAG} SELECT 'flag' AS view, * FROM bars), n AS (WITH {NATION} SELECT 'nation' AS view, * FROM bars) SELECT view, count(DISTINCT symbol) AS symbols, count(*) AS n_bars, round(sum(volume), 3) AS volume FROM (SELECT * FROM e UNION ALL SELECT * FROM f UNION ALL SELECT * FROM n) GROUP BY view")
 def bar_views(spark, sf_dir):
     every = None
@@ -133,7 +126,7 @@ def csv_bulk(spark, sf_dir):
 
 
 def lake(spark, sf_dir, view="nation"):
-    root = scratch_path(spark, "lake")
+    root = shared_folder(spark, "lake")
     files.write_lake(B.VIEWS[view](spark, sf_dir), root)
     return root
 
@@ -147,7 +140,7 @@ def lake_read(spark, sf_dir):
 def lake_write(spark, sf_dir):
     b = B.nation_weekly(spark, sf_dir)
     caps = b.filter("cast(symbol as int) % 2 = 0").groupBy("symbol").agg((F.min("ts") + F.expr("INTERVAL 400 DAY")).alias("cap"))
-    root = scratch_path(spark, "lake")
+    root = shared_folder(spark, "lake")
     files.write_lake(b, root, caps)
     return files.read_lake(spark, root).groupBy("symbol").agg(F.count("*").alias("n_bars"), F.max("ts").cast("string").alias("last_ts"))
 

@@ -10,23 +10,12 @@ and outputs lie in the shared folder.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LATE = "10 minutes"
-
+from volumetra.session import shared_folder
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset, a temporary one on a local master (tests) alone."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='volumetra-stream-')}"
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+LATE = "10 minutes"
 
 
 def batch_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +42,7 @@ def sessions(t: DataFrame, gap: str) -> DataFrame:
 def finish(df: DataFrame, name: str) -> DataFrame:
     """Runs the stream over all that is there; returns the table that it wrote."""
     spark = df.sparkSession
-    out = folder(spark, name)
+    out = shared_folder(spark, name)
     q = df.writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{out}/rows")
@@ -121,7 +110,7 @@ def fills(bars: DataFrame, **settings) -> DataFrame:
 def finished_fills(bars: DataFrame, parts: int = 3, **settings) -> DataFrame:
     """The trades of a table of bars and signals, cut by time into as many files, which the stream takes one by one."""
     spark = bars.sparkSession
-    source = folder(spark, "fill-source")
+    source = shared_folder(spark, "fill-source")
     cut = bars.withColumn("part", F.floor(F.col("idx") * parts / F.col("n_bars")))
     for k in range(parts):
         cut.filter(F.col("part") == k).drop("part", "n_bars").coalesce(1).write.mode("append").parquet(source)
