@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from volumetra.functions.rolling import CLV_CLIPPED
 from volumetra.operators import profile as P
 from volumetra.operators import walk
-from volumetra.plans.registry import DUCK, EVENT, FLAG, query
+from volumetra.plans.registry import DUCK, EVENT, FLAG, query, staged
+from volumetra.plans.rolling import ATR_STAGES
 from volumetra.sources.bars import VIEWS
 
 BINS = 50
@@ -255,7 +256,7 @@ query("c3_quiet_component")(_component("quiet"))
 query("c4_pattern_component")(_component("patterns"))
 
 
-@query("c5_range_unit")
+@query("c5_range_unit", staged("last250", ATR_STAGES, "symbol, round(arg_max(atr, ts), 6) AS atr", "GROUP BY symbol"))
 def range_unit(spark, sf_dir):
     return latest_scores(spark, sf_dir).select("symbol", r("atr", 6))
 

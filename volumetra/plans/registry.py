@@ -15,7 +15,8 @@ FLAG = f"""bars AS (SELECT l_returnflag AS symbol, date_trunc('day', l_shipdate)
  min({_PX}) AS low, arg_max({_PX}, row({_TIE})) AS close, CAST(sum(l_quantity) AS DOUBLE) AS volume FROM lineitem GROUP BY 1, 2 HAVING min({_PX}) > 0)"""
 NATION = f"""bars AS (SELECT CAST(s_nationkey AS VARCHAR) AS symbol, date_trunc('week', l_shipdate) AS ts, arg_min({_PX}, row(l_shipdate, {_TIE})) AS open, max({_PX}) AS high,
  min({_PX}) AS low, arg_max({_PX}, row(l_shipdate, {_TIE})) AS close, CAST(sum(l_quantity) AS DOUBLE) AS volume FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2 HAVING min({_PX}) > 0)"""
-DUCK = {"event": EVENT, "flag": FLAG, "nation": NATION}
+LAST250 = EVENT.replace("bars AS", "every AS", 1) + """, bars AS (SELECT symbol, ts, open, high, low, close, volume FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS back, count(*) OVER (PARTITION BY symbol) AS n FROM every) WHERE back <= 250 AND n >= 250)"""
+DUCK = {"event": EVENT, "flag": FLAG, "nation": NATION, "last250": LAST250}
 
 
 def unsigned_zero(sql: str) -> str:

@@ -364,7 +364,14 @@ def _scalars(make, schema):
 
 query("t4_probabilistic_sharpe")(_scalars(lambda m: [*Q.psr(m.sr, m.n, m.skew, m.kurt)], "symbol string, psr double, stat double"))
 query("t6_deflated_sharpe")(_scalars(lambda m: [Q.dsr(m.sr, m.n, m.skew, m.kurt, 11), 11], "symbol string, dsr double, n_trials int"))
-query("t7_min_track_record")(_scalars(lambda m: [Q.min_track_record(abs(m.sr), m.skew, m.kurt)], "symbol string, min_trl double"))
+_T7 = f"WITH {_RET}, m AS (SELECT symbol, avg(r) AS m, stddev_pop(r) AS sd, abs(avg(r) / stddev_samp(r)) AS sr FROM r GROUP BY symbol), k AS (SELECT r.symbol, any_value(sr) AS sr, avg(power((r - m) / sd, 3)) AS skew, avg(power((r - m) / sd, 4)) AS kurt FROM r JOIN m ON r.symbol = m.symbol WHERE r IS NOT NULL GROUP BY r.symbol) SELECT symbol, round(1 + (1 - skew * sr + (kurt - 1) / 4 * sr * sr) * power(1.6448536269514722 / sr, 2), 3) AS min_trl FROM k"
+
+
+@query("t7_min_track_record", _T7)
+def min_track_record(spark, sf_dir):
+    return _scalars(lambda m: [Q.min_track_record(abs(m.sr), m.skew, m.kurt)], "symbol string, min_trl double")(spark, sf_dir).select("symbol", r("min_trl", 3))
+
+
 query("t10_sharpe_haircut")(_scalars(lambda m: list(Q.haircut(m.sr, m.n, 20).values()), "symbol string, p_single double, p_adjusted double, t_observed double, t_adjusted double, haircut_sr double, haircut double"))
 
 
