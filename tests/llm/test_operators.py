@@ -654,3 +654,57 @@ def test_sliced_batches(spark, name):
     run = operators()[name]
     rows = lambda d: sorted(map(str, run(d).drop("sequence_id", "offset").collect()))
     assert rows(docs.coalesce(1)) == rows(docs.repartition(len(texts)))
+
+
+# --- joins that many rows share -------------------------------------------------
+
+
+def test_filtered_semi_join(spark):
+    """Beyond the broadcast bound a filter of bits goes first; no row is lost and none is too many, nulls included."""
+    from volumetra.llm.common import only
+
+    df = spark.range(20_000).selectExpr("nullif(id % 7000, 13) as doc_id", "id")
+    ids = spark.range(0, 7000, 3).selectExpr("nullif(id, 12) as doc_id")
+    rows = lambda d: sorted(r["id"] for r in d.collect())
+    small, large = only(df, ids, "doc_id", 2334), only(df, ids, "doc_id", 10**9)
+    assert rows(small) == rows(large) and len(rows(small)) > 6000
+    assert "_bits" in large._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_salted_join(spark, monkeypatch, how):
+    from volumetra.llm import common
+
+    monkeypatch.setattr(common, "HOT_LEAST", 50)
+    df = spark.range(3000).selectExpr("case when id % 3 = 0 then 1 when id % 3 = 1 then id else null end as k", "id")
+    side = df.filter("k is not null").groupBy("k").agg(F.count("*").alias("n")).filter("k % 2 = 1").withColumn("x", F.col("k") * 10)
+    got = common.salted_join(df, side, "k", "id", 3000, how)
+    want = df.join(side.drop("n"), "k", how)
+    rows = lambda d: sorted(map(str, d.select("k", "id", "x").collect()))
+    assert rows(got) == rows(want) and "_salt" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_components_by_brute_force(spark):
+    from volumetra.llm import linkage
+    from volumetra.llm.common import Scratch
+
+    rng = random.Random(41)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(500, 600 + i) for i in range(80)] + [(rng.randrange(1000, 1300), rng.randrange(1000, 1300)) for _ in range(200)] + [(7, 7)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    want = {x: find(x) for x in root if find(x) != x}
+    df = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    for native, local in ((True, None), (False, None), (False, 40)):
+        before = linkage.LOCAL_EDGES
+        linkage.LOCAL_EDGES = local or before
+        out = linkage.components(df, Scratch(spark, "t"), native).collect()
+        linkage.LOCAL_EDGES = before
+        assert {r["id"]: r["root"] for r in out} == want and len(out) == len(want)
