@@ -655,3 +655,17 @@ def test_narration(spark, sf):
         assert ("permutation p" in text) == (r["p_value"] is not None) and ("PBO" in text) == (r["pbo"] is not None) and ("DSR" in text) == (r["dsr"] is not None)
         assert ("INVERTS" in text) == bool(r["inverts"]) and ("not a tradeable signal" in text) == (r["verdict"] != "validated")
         assert ("survives injection" in text) == bool(r["survives"]) and ("fails under injection" in text) == (r["survives"] is False)
+
+
+def test_data_source(spark):
+    """The source contract: one partition a symbol, the bars of the generator, and a refusal of what it does not serve."""
+    from volumetra.sources import contract, synthetic
+
+    contract.register(spark)
+    read = spark.read.format("volumetra_synthetic").option("symbols", "AAA, BBB,CCC").option("period", "3mo").option("gone", "BBB")
+    df = read.option("require", "delisted").load()
+    assert df.rdd.getNumPartitions() == 3
+    want = synthetic.synthetic(spark, ["AAA", "BBB", "CCC"], "3mo", {"BBB"})
+    assert df.count() == 189 and df.exceptAll(want).count() == 0
+    with pytest.raises(Exception, match="does not serve"):
+        read.option("require", "intraday").load().collect()
