@@ -702,9 +702,9 @@ def test_components_by_brute_force(spark):
         root[max(a, b)] = min(a, b)
     want = {x: find(x) for x in root if find(x) != x}
     df = spark.createDataFrame(edges, "a long, b long").repartition(5)
-    for native, local in ((True, None), (False, None), (False, 40)):
-        before = linkage.LOCAL_EDGES
-        linkage.LOCAL_EDGES = local or before
+    before = linkage.LOCAL_EDGES, linkage.FEW_EDGES
+    for native, local, few in ((True, 0, 10**6), (True, 0, 0), (False, 10**6, 0), (False, 40, 0), (False, 40, 10**6)):
+        linkage.LOCAL_EDGES, linkage.FEW_EDGES = local, few
         out = linkage.components(df, Scratch(spark, "t"), native).collect()
-        linkage.LOCAL_EDGES = before
+        linkage.LOCAL_EDGES, linkage.FEW_EDGES = before
         assert {r["id"]: r["root"] for r in out} == want and len(out) == len(want)
