@@ -3,10 +3,10 @@
 `link` gets (key, id) rows: ids that share a key may be similar. It works in two
 exact steps.
 
-1. In each bucket every id is compared to two others: the smallest, and the
-   hub, the id with the fullest buckets, which is the one that copies with a
-   change each have in common. That is linear in the bucket. Verified links give
-   components.
+1. In each bucket every id is compared to the smallest and to the hub, the id
+   with the fullest buckets, which is the one that copies with a change each have
+   in common, and, where comparing is cheap, to the largest too. That is linear
+   in the bucket. Verified links give components.
 2. Buckets that still hold more than one component are cut into blocks of a
    bounded number of ids and bytes; every two blocks of a bucket meet in one row
    where ids of different components are compared. So every two ids of a bucket
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from volumetra.llm.common import Scratch, salted_join
 
 #: A block holds about so many ids, and so many elements of their payloads.
-BLOCK, BLOCK_SIZE = 256, 400_000
+BLOCK, BLOCK_SIZE = 256, 150_000
 ROUNDS = 60
 #: So many edges are joined up in one task before the stars begin, and of so many the stars are made in one task.
 LOCAL_EDGES, FEW_EDGES = 2_000_000, 200_000
@@ -162,7 +162,8 @@ def link(
     # the hub of a bucket: the id whose buckets hold most
     weights = members.groupBy("id").agg(F.sum("n").alias("w"))
     hubs = members.filter("n > 2").select("key", "id").join(weights, "id").groupBy("key").agg(F.max(F.struct("w", "id")).getField("id").alias("hub"))
-    ends = members.filter("n > 2").join(hubs, "key").select("id", F.explode(F.array_distinct(F.array("lo", "hub"))).alias("other"))
+    pivots = ("lo", "hub") if at is not None else ("lo", "hi", "hub")
+    ends = members.filter("n > 2").join(hubs, "key").select("id", F.explode(F.array_distinct(F.array(*pivots))).alias("other"))
     ends = ends.unionByName(members.filter("n = 2 and id = lo").select("id", F.col("hi").alias("other")))
     star = scratch.save(ends.filter("id != other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "star")
     ids = scratch.save(members.select("id").distinct(), "ids")

@@ -164,6 +164,8 @@ def set_blocks(percent: int):
             if found:
                 a, b = np.unique(np.concatenate(found), axis=0).T
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            del batch, sides
+            pa.default_memory_pool().release_unused()  # the worker lives on, its blocks need not
 
     def compare(met: DataFrame) -> DataFrame:
         ship(met.sparkSession)
