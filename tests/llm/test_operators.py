@@ -708,3 +708,17 @@ def test_components_by_brute_force(spark):
         out = linkage.components(df, Scratch(spark, "t"), native).collect()
         linkage.LOCAL_EDGES, linkage.FEW_EDGES = before
         assert {r["id"]: r["root"] for r in out} == want and len(out) == len(want)
+
+
+def test_license_sql_has_the_operators_rivals(spark):
+    import duckdb
+    import pandas as pd
+
+    from volumetra.llm.oracles import ORACLES
+
+    bsd = "redistribution and use in source and binary forms with or without any modification are permitted"
+    texts = ["licensed under the new GNU General Public License version 3", f"All rights reserved. {bsd}", "licensed under the gnu general public license version 2 or 3", "cc by", "", None, "released under the mit license, licensed under the apache license version 2.0"]
+    documents = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})  # noqa: F841
+    want = {r[0]: r for r in duckdb.sql(f"SELECT doc_id, n_words, n_base, first_word, last_word, base_labels, labels, round(score, 9) FROM ({ORACLES['op1_license_scan']})").fetchall()}
+    for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        assert (*tuple(r)[:7], round(r["score"], 9)) == want[r["doc_id"]]
