@@ -617,7 +617,7 @@ def test_sharpe_statistics(spark, sf, returns):
         assert rows["t4_probabilistic_sharpe"][s]["psr"] == pytest.approx(beats(sr, skew, kurt, n), abs=1e-8)
         assert rows["t6_deflated_sharpe"][s]["dsr"] == pytest.approx(beats(sr, skew, kurt, n, largest(11, 1 / (n - 1))), abs=1e-8)
         a = abs(sr)
-        assert rows["t7_min_track_record"][s]["min_trl"] == pytest.approx(1 + (1 - skew * a + (kurt - 1) / 4 * a * a) * (NormalDist().inv_cdf(0.95) / a) ** 2, rel=1e-6)
+        assert rows["t7_min_track_record"][s]["min_trl"] == pytest.approx(1 + (1 - skew * a + (kurt - 1) / 4 * a * a) * (NormalDist().inv_cdf(0.95) / a) ** 2, abs=1e-3)
         r = rows["t10_sharpe_haircut"][s]
         t = sr * math.sqrt(n)
         p = 2 * NormalDist().cdf(-abs(t))
