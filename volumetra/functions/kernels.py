@@ -176,7 +176,7 @@ def value_area(hist: np.ndarray, at: int, share: float, total: float) -> tuple[i
     inside, last = float(hist[at]), len(hist) - 1
     while inside < share * total and (lo > 0 or hi < last):
         above, below = hist[hi + 1 : hi + 3], hist[max(lo - 2, 0) : lo]
-        if len(above) and (not len(below) or above.sum() >= below.sum()):
+        if len(above) and (not len(below) or above.sum() >= below.sum() * (1 - TIE)):
             inside, hi = inside + float(above.sum()), hi + len(above)
         else:
             inside, lo = inside + float(below.sum()), lo - len(below)
