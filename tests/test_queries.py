@@ -37,7 +37,7 @@ def plain(rows):
 
 
 #: Three bins of one profile of sf0.1 are equally large, but for the order in which Spark adds their rows.
-TIED = ["a10_poc_location", "a15_decayed_poc", "a5_point_of_control", "a6_value_area", "c1_value_area_component", "a6_value_area_udtf", "j11_nearest_level"]
+TIED = ["a10_poc_location", "a15_decayed_poc", "a5_point_of_control", "a6_value_area", "c1_value_area_component", "a6_value_area_udtf", "j11_nearest_level", "p7_location_in_value"]
 
 
 @pytest.mark.parametrize("name", TIED)
