@@ -242,6 +242,25 @@ def test_near_lines_are_removed(spark):
     assert [out[i]["n_removed"] for i in (1, 2)] == [0, 1]
 
 
+def test_letters_decide(spark):
+    """Not the share of words that differ: that is large where each of them differs by a letter, and misses what is just too far."""
+    rng = random.Random(31)
+    word = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    far = []
+    for i in range(12):
+        a = [word(11, "abcdefghijklm") for _ in range(40)]
+        gone = rng.sample(range(40), 9)
+        far.append((" ".join(a), " ".join(word(11, "nopqrstuvwxyz") if k in gone else w for k, w in enumerate(a))))
+    long = [word(9, "abcdefghijklm") for _ in range(8)]
+    short = [word(4, "abcdefghijklm") for _ in range(40)]
+    near = (" ".join(long + short), " ".join(long + [w[:3] + "z" for w in short]))
+    rows = [(2 * i + k, p[k]) for i, p in enumerate([*far, near]) for k in (0, 1)]
+    out = by_id(lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")))
+    for i, (x, y) in enumerate([*far, near]):
+        assert out[2 * i]["n_removed"] == 0 and out[2 * i + 1]["n_removed"] == (5 * edit_distance(x, y) <= max(len(x), len(y))), i
+    assert out[25]["n_removed"] == 1
+
+
 def test_long_lines_and_numbers(spark):
     rng = random.Random(13)
     words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(70)]
