@@ -47,6 +47,29 @@ def test_equals_duckdb_on_equal_bins(spark, name):
     test_equals_duckdb(spark, folder, con, name)
 
 
+@pytest.fixture(scope="module")
+def odd(tmp_path_factory):
+    """A: one bar, all bins alike. C: one price. D: a bin larger by 1e-7. E: bars without a range among others."""
+    ticks = [("A", 0, 1000.1, 3), ("A", 0, 2000.7, 4), *[("C", d, 1234.5, 7) for d in range(5)]]
+    ticks += [("D", 0, 1000.0, 1), ("D", 0, 1050.0, 1), ("D", 1, 1010.2, 1e-7), ("D", 1, 1010.8, 1e-7)]
+    ticks += [("E", d, (900.0, 950.0, 1000.0, 1100.0, 1400.0)[d * (i + 3) * 7 % 5], 1 + d * (i + 5) % 50) for d in range(60) for i in range(3)]
+    folder = tmp_path_factory.mktemp("odd")
+    rows = ", ".join(f"('{s}', {k}, {d}, {p}::DOUBLE, {q}::DOUBLE)" for k, (s, d, p, q) in enumerate(ticks))
+    columns = "k::BIGINT AS l_orderkey, 1 AS l_linenumber, 1::BIGINT AS l_partkey, 1::BIGINT AS l_suppkey, q AS l_quantity, p * q AS l_extendedprice, s AS l_returnflag, TIMESTAMP '1996-01-01' + to_days(d) AS l_shipdate"
+    duckdb.sql(f"COPY (SELECT {columns} FROM (VALUES {rows}) t(s, k, d, p, q)) TO '{folder}/lineitem.parquet'")
+    return str(folder)
+
+
+ODD = ["a5_point_of_control"]
+
+
+@pytest.mark.parametrize("name", ODD)
+def test_equals_duckdb_on_odd_profiles(spark, odd, name):
+    con = duckdb.connect(config={"threads": 1})
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{odd}/lineitem.parquet'")
+    test_equals_duckdb(spark, odd, con, name)
+
+
 @pytest.mark.parametrize("name", CHOSEN)
 def test_equals_duckdb(spark, sf, duck, name):
     df = catalog.queries()[name](spark, sf)

@@ -27,10 +27,10 @@ BASE = f"WITH {FLAG}, {_G}, {_hist()}"
 _POC = "p AS (SELECT symbol, arg_max(center, row(round(volume, 6), -bin)) AS poc, max(volume) AS poc_volume, arg_max(bin, row(round(volume, 6), -bin)) AS poc_bin FROM h GROUP BY symbol)"
 
 
-def base(spark, sf_dir):
+def base(spark, sf_dir, padded=True):
     """(bars, grid, dense histogram) of the daily view."""
     b = P.usable(VIEWS["flag"](spark, sf_dir))
-    g = P.grid(b, BINS)
+    g = P.grid(b, BINS, padded=padded)
     return b, g, P.dense(P.histogram(b, g), g)
 
 
@@ -72,7 +72,7 @@ def auto_bins(spark, sf_dir):
 
 @query("a5_point_of_control", f"{BASE}, {_POC} SELECT symbol, round(poc, 4) AS poc, round(poc_volume, 4) AS poc_volume, round(total, 4) AS total_volume, round(lo, 4) AS price_low, round(hi, 4) AS price_high FROM p JOIN g USING (symbol)")
 def poc(spark, sf_dir):
-    _, g, d = base(spark, sf_dir)
+    _, g, d = base(spark, sf_dir, padded=False)
     p = P.point_of_control(d).join(g, "symbol")
     return p.select("symbol", r("poc"), r("poc_volume"), r("total_volume"), r("price_low"), r("price_high"))
 
