@@ -209,7 +209,7 @@ def poor_ends(spark, sf_dir):
 
 @query("a15_decayed_poc", f"WITH {FLAG}, {_G}, w AS (SELECT symbol, ts, high, low, volume * power(0.5, (row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) - 1) / 21.0) AS aged FROM bars), {_hist('aged', 'h', 'w')} SELECT symbol, round(arg_max(center, row(round(volume, 6), -bin)), 4) AS decayed_poc FROM h GROUP BY symbol")
 def decayed_poc(spark, sf_dir):
-    b, g, _ = base(spark, sf_dir)
+    b, g, _ = base(spark, sf_dir, padded=False)
     h = P.dense(P.histogram(b.withColumn("volume", P.aged(b)), g), g)
     return P.point_of_control(h).select("symbol", F.round("poc", 4).alias("decayed_poc"))
 
