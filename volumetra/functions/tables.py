@@ -23,11 +23,11 @@ class _ValueArea:
     def terminate(self):
         import numpy as np
 
-        from volumetra.functions.kernels import largest, value_area
+        from volumetra.functions.kernels import value_area
 
         hist = np.array(self.volumes)
         if len(hist) and hist.sum() > 0:
-            lo, hi, inside = value_area(hist, largest(hist), 0.7, float(hist.sum()))
+            lo, hi, inside = value_area(hist, int(hist.argmax()), 0.7, float(hist.cumsum()[-1]))  # added in the order of bins
             yield self.symbol, self.centers[lo], self.centers[hi], inside
 
 

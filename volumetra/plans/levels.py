@@ -90,7 +90,7 @@ VALUE = f"WITH RECURSIVE {FLAG}, {_G}, {_hist()}, {_POC}, {_LISTS}, {_VA}, {_VAL
 
 @query("a6_value_area", f"{VALUE} SELECT symbol, round(val, 4) AS val, round(vah, 4) AS vah, round(va_volume, 3) AS va_volume FROM v")
 def value_area(spark, sf_dir):
-    _, _, d = base(spark, sf_dir)
+    _, _, d = base(spark, sf_dir, padded=False)
     return P.value_area(P.arrays(d)).select("symbol", r("val"), r("vah"), r("va_volume", 3))
 
 
@@ -100,14 +100,14 @@ def value_area_udtf(spark, sf_dir):
     from volumetra.functions import tables
 
     tables.register(spark)
-    _, _, d = base(spark, sf_dir)
+    _, _, d = base(spark, sf_dir, padded=False)
     d.select("symbol", "bin", "center", "volume").createOrReplaceTempView("volumetra_histogram")
     v = spark.sql("SELECT * FROM volumetra_value_area(TABLE(volumetra_histogram) PARTITION BY symbol ORDER BY bin)")
     return v.select("symbol", r("val"), r("vah"), r("va_volume", 3))
 
 
 def with_levels(spark, sf_dir):
-    b, g, d = base(spark, sf_dir)
+    b, g, d = base(spark, sf_dir, padded=False)
     return b, P.value_area(P.arrays(d)).join(P.point_of_control(d), "symbol")
 
 
