@@ -60,7 +60,7 @@ def odd(tmp_path_factory):
     return str(folder)
 
 
-ODD = ["a5_point_of_control", "a15_decayed_poc", "j11_nearest_level"]
+ODD = ["a5_point_of_control", "a15_decayed_poc", "j11_nearest_level", "c1_value_area_component"]
 
 
 @pytest.mark.parametrize("name", ODD)
