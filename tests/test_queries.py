@@ -60,7 +60,7 @@ def odd(tmp_path_factory):
     return str(folder)
 
 
-ODD = ["a5_point_of_control", "a15_decayed_poc", "j11_nearest_level", "c1_value_area_component"]
+ODD = ["a5_point_of_control", "a15_decayed_poc", "j11_nearest_level", "c1_value_area_component", "p7_location_in_value"]
 
 
 @pytest.mark.parametrize("name", ODD)
