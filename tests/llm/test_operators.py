@@ -234,6 +234,56 @@ def test_lines_by_brute_force(spark):
     assert not wrong and len(got) == docs.count() and sum(map(len, want.values())) > 100
 
 
+def letters_apart(x, y):
+    row = list(range(len(y) + 1))
+    for i, a in enumerate(x, 1):
+        before, row[0] = row[0], i
+        for j, b in enumerate(y, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (a != b))
+    return row[-1]
+
+
+def test_long_lines_by_parts(spark, monkeypatch):
+    """The sum over parts is never below the distance by letters, near it for near lines, and what it tells is what letters tell."""
+    monkeypatch.setattr(lines, "LONG_LINE", 300)
+    r = random.Random(5)
+    words = ["".join(r.choices("abcdefghijé", k=r.randint(1, 9))) for _ in range(80)]
+    pairs = []
+    for share in (0.0, 0.05, 0.1, 0.2, 0.3, 1.0):
+        for base in (r.choices(words, k=110), ["osas"] * 120, ["ab", "cde", "f"] * 50):
+            near = [w if r.random() >= share else r.choice(words) for w in base if r.random() >= share / 3]
+            pairs += [(" ".join(base), " ".join(near)), (" ".join(base), " ".join(near[len(near) // 8 :]))]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, x string, y string")
+    a, b = (F.struct(F.col(c).alias("norm"), F.length(c).alias("size")) for c in "xy")
+    df = df.withColumn("a", a).withColumn("b", b)
+    a, b = F.col("a"), F.col("b")
+    told = 0
+    for row in df.select("i", lines.parts_distance(a, b).alias("d"), lines.allowed(a, b).alias("most"), lines.settled(a, b).alias("same")).collect():
+        true = letters_apart(*pairs[row["i"]])
+        assert row["d"] >= min(true, row["most"] + 1) and row["same"] == (true <= row["most"])
+        told += row["d"] <= row["most"]
+    assert told > 12
+
+
+def test_blocks_of_lines_are_bounded_by_letters(spark, monkeypatch):
+    """Long lines of the same words in another order meet at every key: they are dealt to more than one block, and stay."""
+    monkeypatch.setattr(lines, "BLOCK_LETTERS", 2000)
+    r, blocks, save = random.Random(3), [], lines.Scratch.save
+    words = ["".join(r.choices("abcdefghij", k=7)) for _ in range(60)]
+
+    def seen(self, df, name, *args, **more):
+        out = save(self, df, name, *args, **more)
+        if name == "blocks":
+            blocks.extend(out.collect())
+        return out
+
+    monkeypatch.setattr(lines.Scratch, "save", seen)
+    rows = [(i, " ".join(r.sample(words, 60))) for i in range(12)]
+    out = by_id(lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert sum(len(v["text"]) for v in out.values()) == sum(len(t) for _, t in rows)
+    assert blocks and all(b["nb"] > 1 for b in blocks)
+
+
 def test_near_lines_are_removed(spark):
     rng = random.Random(12)
     base = " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(20))
