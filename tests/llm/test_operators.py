@@ -243,6 +243,38 @@ def letters_apart(x, y):
     return row[-1]
 
 
+def test_lines_are_normalised_once(spark):
+    """Rare letters and digits are known whichever way a line goes, and no text is split or searched twice."""
+    import unicodedata
+
+    odd = ["ÀÉ ß  ½x ²  Ⅳ ⓐ İstanbul ΑΣ", " 12 ab", "123456789 12", "\t.. ", "٣٤٥ abcdefgh ٣", "中文 字符 中文字符 中文字符", "𝐀𝐁 text here 𝟘", "ªº ab\u0345cdefghijk", "x y abcdefgh\r", "a" * 5 + " " * 40 + "bcdefg,,;!h"]
+    kind = lambda c: unicodedata.category(c)[0]
+    want = {}
+    for at, line in enumerate(odd):
+        norm = " ".join("".join(c if kind(c) in "LN" else " " for c in line.lower()).split(" ")).split()
+        norm = " ".join(norm)
+        if norm:
+            want[at] = "".join("0" if kind(c) == "N" else c for c in norm) if len(norm) >= lines.MIN_CHARS else norm
+    out = lines.line_texts(spark.createDataFrame([(1, "\n".join(odd)), (2, None)], "doc_id long, text string"))
+    assert {r["at"]: r["norm"] for r in out.collect()} == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(coalesce(") == 1 and plan.count("mask(") == 1
+
+
+def test_keys_of_whole_sketches(spark):
+    """Whole, short and piece sketches have a key for each so many of their hashes."""
+    from itertools import combinations
+
+    rows = [(1, list(range(6)), True), (2, list(range(5)), True), (3, [1, 2], True), (4, list(range(7)), False), (5, [7], False)]
+    df = spark.createDataFrame(rows, "id long, sketch array<long>, words boolean")
+    sets = [(i, list(c)) for i, s, w in rows for c in (combinations(s, 4 if w else 3) if len(s) >= (4 if w else 3) else [s])]
+    want = {(r["id"], r["key"]) for k in {len(c) for _, c in sets} for r in spark.createDataFrame([(i, c) for i, c in sets if len(c) == k], "id long, c array<long>").select("id", F.xxhash64(*[F.col("c")[j] for j in range(k)]).alias("key")).collect()}
+    got = lines.line_keys(df)
+    assert {(r["id"], r["key"]) for r in got.collect()} == want
+    # the keys of whole sketches are made without a condition
+    assert any("explode(array(xxhash64(" in x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n"))
+
+
 def test_long_lines_by_parts(spark, monkeypatch):
     """The sum over parts is never below the distance by letters, near it for near lines, and what it tells is what letters tell."""
     monkeypatch.setattr(lines, "LONG_LINE", 300)
